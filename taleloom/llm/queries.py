@@ -16,8 +16,15 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents")).drop("fp")
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from taleloom.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("fp")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
+    "op7_simhash": op7_simhash,
 }
 
 ORACLES: dict[str, str] = {
