@@ -10,6 +10,19 @@ from pyspark.sql import functions as F
 from taleloom.llm.common import table
 
 
+def vocabulary(name: str) -> str:
+    """Where a public tokenizer's file is, on the driver and on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from taleloom.llm.packing import packed
+
+    return packed(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from taleloom.llm.exact_dedup import exact_duplicates
 
@@ -23,6 +36,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_packing": op2_packing,
     "op3_exact_dedup": op3_exact_dedup,
     "op7_simhash": op7_simhash,
 }
