@@ -35,10 +35,18 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("fp")
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from taleloom.llm.secrets import scanned
+
+    found = scanned(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_exact_dedup": op3_exact_dedup,
     "op7_simhash": op7_simhash,
+    "op10_secrets": op10_secrets,
 }
 
 ORACLES: dict[str, str] = {
