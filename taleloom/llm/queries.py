@@ -58,6 +58,12 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from taleloom.llm.html_text import extracted
+
+    return extracted(table(spark, sf_dir, "pages"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from taleloom.llm.simhash import near_duplicates
 
@@ -76,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_chat": op5_chat,
+    "op6_html_text": op6_html_text,
     "op7_simhash": op7_simhash,
     "op9_quality": op9_quality,
     "op10_secrets": op10_secrets,
