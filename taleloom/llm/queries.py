@@ -73,7 +73,7 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from taleloom.llm.simhash import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("fp")
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("mark", "component")
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

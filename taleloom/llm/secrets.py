@@ -17,8 +17,10 @@ from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from taleloom.llm.common import documents
 
@@ -204,3 +206,14 @@ def scanned(docs: DataFrame) -> DataFrame:
     are ignored. Whole texts are read.
     """
     return documents(docs).mapInArrow(_scanned, "doc_id long, n_assign long, n_access long, n_hex long, base_spans string, spans string, masked string")
+
+
+def masked_text(text: Column) -> Column:
+    """A text column without its secrets, those in nested encodings too; a null text stays null."""
+
+    @F.pandas_udf("string")
+    def mask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([None if t is None else masked(t, secrets(t)[1]) for t in texts], dtype=object)
+
+    return mask(text)

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taleloom.llm.common import bounded_broadcast, documents, materialise
@@ -58,12 +58,17 @@ def fingerprint(text: str, words: int = WORDS, seed: int = SEED) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = np.array([fingerprint(t.as_py() or "") for t in batch.column(1)], dtype=np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found.view(np.int64))], ["doc_id", "mark", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp holds the unsigned fingerprint's bits as a long."""
-    return documents(docs).mapInArrow(_fingerprints, "doc_id long, fp long")
+    """(doc_id, mark, fp): mark is a hash of the whole text; fp holds the unsigned fingerprint's bits as a long."""
+    return documents(docs).select("doc_id", "text", text_mark("text")).mapInArrow(_fingerprints, "doc_id long, mark long, fp long")
+
+
+def text_mark(text: str) -> Column:
+    """Tells rows with the same doc_id apart."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
 def distance_table(fps: np.ndarray, references: np.ndarray = REFERENCES) -> np.ndarray:
@@ -171,8 +176,8 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per row of docs(doc_id, text): doc_id, fp, fingerprint (16 hex digits), component_id
-    (the smallest doc_id reachable over links of at most 3 differing bits).
+    """One row per row of docs(doc_id, text): doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id
+    reachable over links of at most 3 differing bits), mark (text_mark) and component (one fingerprint of it).
 
     A null text is empty; texts without words have fingerprint zero, linked like any other. A null
     doc_id is never the smallest; a component of nulls has a null id. Repeated rows give repeated rows.
@@ -184,5 +189,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     components = connected_components(members.mapInArrow(_links, "u long, v long"))
     nodes = nodes.join(components.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = nodes.join(least, "component").select("fp", "component_id")
-    return thin.join(named, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = nodes.join(least, "component").select("fp", "component", "component_id")
+    return thin.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "mark", "component")
+
+
+def one_of_each(found: DataFrame) -> DataFrame:
+    """near_duplicates()'s rows with kept: of each component the row with the smallest doc_id, then mark."""
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")
+    first = found.groupBy("component").agg(F.min(key).alias("first"))
+    return found.join(first, "component").withColumn("kept", key.eqNullSafe(F.col("first"))).drop("first")
