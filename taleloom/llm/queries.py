@@ -41,6 +41,23 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from taleloom.llm.sentencepiece_lattice import SPACE, decode, encode
+
+    path = vocabulary("piece_bpe_32k.model")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    out = encode(rows, "text", path)
+    spaces = F.replace(F.col("text"), F.lit(SPACE), F.lit(" "))  # the mark for a space is read as one
+    return out.select(
+        "conv_id",
+        "turn",
+        "role",
+        F.size("ids").cast("long").alias("n_ids"),
+        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+        (decode(F.col("ids"), path) == spaces).alias("same_text"),
+    )
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from taleloom.llm.quality import quality_scores
 
@@ -91,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_chat": op5_chat,
     "op6_html_text": op6_html_text,
     "op7_simhash": op7_simhash,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_quality": op9_quality,
     "op10_secrets": op10_secrets,
 }
