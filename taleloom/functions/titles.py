@@ -42,12 +42,22 @@ def subtypes_of(kind: Column) -> Column:
     return out
 
 
+def _let(value: Column, build) -> Column:
+    """build(value), with the value computed once and the generated code kept small."""
+    return F.element_at(F.transform(F.array(value), build), 1)
+
+
 def parsed(title: Column) -> Column:
     """struct(kind, subtype, label): all null unless the title is entity syntax with a known kind and a subtype of it."""
-    t = jstrim(title)
-    kind, subtype, label = (F.regexp_extract(t, TITLE, i) for i in (1, 2, 3))
-    ok = t.rlike(TITLE) & is_kind(kind) & ((subtype == "") | is_subtype(kind, subtype))
-    return F.struct(F.when(ok, kind).alias("kind"), F.when(ok, some(subtype)).alias("subtype"), F.when(ok & (label != ""), jstrim(label)).alias("label"))
+
+    def groups(t: Column) -> Column:
+        return F.struct(t.rlike(TITLE).alias("m"), *[F.regexp_extract(t, TITLE, i).alias(n) for i, n in ((1, "k"), (2, "s"), (3, "l"))])
+
+    def checked(g: Column) -> Column:
+        ok = g["m"] & is_kind(g["k"]) & ((g["s"] == "") | is_subtype(g["k"], g["s"]))
+        return F.struct(F.when(ok, g["k"]).alias("kind"), F.when(ok, some(g["s"])).alias("subtype"), F.when(ok & (g["l"] != ""), jstrim(g["l"])).alias("label"))
+
+    return _let(_let(jstrim(title), groups), checked)
 
 
 def is_typed_root(p: Column) -> Column:
