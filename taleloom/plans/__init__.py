@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_PARTS = ("text", "notes", "markup")
+_PARTS = ("text", "notes", "markup", "graph")
 
 
 def _registered():
