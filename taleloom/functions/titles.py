@@ -42,7 +42,7 @@ def subtypes_of(kind: Column) -> Column:
     return out
 
 
-def _let(value: Column, build) -> Column:
+def let(value: Column, build) -> Column:
     """build(value), with the value computed once and the generated code kept small."""
     return F.element_at(F.transform(F.array(value), build), 1)
 
@@ -57,7 +57,7 @@ def parsed(title: Column) -> Column:
         ok = g["m"] & is_kind(g["k"]) & ((g["s"] == "") | is_subtype(g["k"], g["s"]))
         return F.struct(F.when(ok, g["k"]).alias("kind"), F.when(ok, some(g["s"])).alias("subtype"), F.when(ok & (g["l"] != ""), jstrim(g["l"])).alias("label"))
 
-    return _let(_let(jstrim(title), groups), checked)
+    return let(let(jstrim(title), groups), checked)
 
 
 def is_typed_root(p: Column) -> Column:

@@ -2,33 +2,18 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from taleloom.sources.shared import written
+
 #: Nodes up to which paths are walked for betweenness; above, it is the degree centrality. The cutoff is part of the result.
 BETWEENNESS_NODES = 100
 MAX_ROUNDS = 40
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """df once, in the folder of spark.checkpoint.dir (a temporary one under a local master that names none)."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        root = f"file://{os.path.join(tempfile.gettempdir(), 'taleloom-graph')}"
-    path = f"{root.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def build(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges between known nodes, one (the first) for each unordered pair, with a drawing width."""
     known = nodes.select("id")
@@ -68,10 +53,10 @@ def distances(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = No
     one join and drops what was visited; it ends when no frontier is left. All pairs only suit small graphs; pass `sources` else."""
     links = both_ways(edges).distinct()
     frontier = (sources or nodes).select(F.col("id").alias("source"), "id").withColumn("distance", F.lit(0))
-    seen = frontier = _written(frontier)
+    seen = frontier = written(frontier)
     for step in range(1, 1 << 20):
         new = frontier.join(links, F.col("id") == F.col("u")).select("source", F.col("v").alias("id")).distinct()
-        new = _written(new.join(seen, ["source", "id"], "left_anti").withColumn("distance", F.lit(step)))
+        new = written(new.join(seen, ["source", "id"], "left_anti").withColumn("distance", F.lit(step)))
         if new.isEmpty():
             return seen
         seen, frontier = seen.unionByName(new), new
@@ -136,8 +121,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     ids = nodes.select("id", "ord")
     by_ord = ids.select(F.col("id").alias("u"), F.col("ord").alias("uo"))
     links = both_ways(edges).join(by_ord, "u").join(ids.select(F.col("id").alias("v"), F.col("ord").alias("vo")), "v").select("uo", "vo").distinct()
-    links = _written(links)
-    labels = _written(ids.select("ord", F.col("ord").alias("label")))
+    links = written(links)
+    labels = written(ids.select("ord", F.col("ord").alias("label")))
     for _ in range(MAX_ROUNDS):
         label_of = labels.select(F.col("ord").alias("vo"), F.col("label").alias("theirs"))
         least = links.join(label_of, "vo").groupBy(F.col("uo").alias("ord")).agg(F.min("theirs").alias("theirs"))
@@ -145,7 +130,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         # a label that met a smaller one takes it along for all that bear it
         roots = hook.groupBy(F.col("old").alias("root")).agg(F.min("near").alias("up"))
         now = hook.join(roots, F.col("old") == F.col("root")).select("ord", "old", F.least("near", "up").alias("label"))
-        now = _written(now)
+        now = written(now)
         if now.filter("label <> old").isEmpty():
             break
         labels = now.select("ord", "label")

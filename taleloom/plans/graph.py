@@ -12,6 +12,7 @@ from taleloom.plans import sql
 from taleloom.plans.markup import _ENTITIES, _TRIPLES_SRC
 from taleloom.plans.registry import query, table
 from taleloom.sources import corpus
+from taleloom.sources.shared import written
 
 _X = sql.NOTES + _ENTITIES + f""",
 extracted AS (SELECT e.id AS note_id, n.ord AS note_ord, kind, subtype, label, count(*) AS n, min(e.ord) AS ord, {sql.entity_id('kind', 'label')} AS entity_id FROM ents e JOIN notes n USING (id) GROUP BY e.id, n.ord, kind, subtype, label),
@@ -181,7 +182,7 @@ def big(spark, d):
 def small(spark, d):
     part = table(spark, d, "part")
     ob = table(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_brand").alias("entity_id"), F.col("l_orderkey").alias("unit")).distinct()
-    pairs = gr._written(en.cooccurrence(ob))
+    pairs = written(en.cooccurrence(ob))
     cut = pairs.agg(F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY weight)").alias("q"))
     edges = pairs.crossJoin(F.broadcast(cut)).filter("weight >= q").select("a", "b", "weight", F.col("weight").alias("ord"))  # one row
     nodes = part.select(F.col("p_brand").alias("id")).distinct().select("id", F.substring("id", 7, 10).cast("long").alias("ord"), F.lit(1).cast("long").alias("frequency"))
