@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_PARTS = ("text", "notes", "markup", "graph", "timeline")
+_PARTS = ("text", "notes", "markup", "graph", "timeline", "registry_queries")
 
 
 def _registered():
