@@ -118,3 +118,8 @@ def color_of(kind: Column) -> Column:
     for k in KINDS[1:]:
         out = out.when(kind == k, F.lit(COLORS[k]))
     return out.otherwise(F.lit(GREY))
+
+
+def new_id() -> Column:
+    """A fresh identifier; not deterministic, so no result that is compared holds one."""
+    return F.uuid()

@@ -36,6 +36,19 @@ def fact_sheets(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, *n) for k, n in FACT_SHEETS.items()], "kind string, cards int, fields int")
 
 
+def load_registry(store, spark: SparkSession) -> dict[str, DataFrame]:
+    """Entity and relationship types of a snapshot store, each with its defaults where none can be read."""
+    out = {}
+    for name, default in (("entity_types", entity_types(spark)), ("relationship_types", relationship_types(spark))):
+        found = store.load(name, default.schema)
+        out[name] = default if found.isEmpty() else found
+    return out
+
+
+def save_registry(store, tables: dict[str, DataFrame]) -> int:
+    return store.save(tables)
+
+
 def registered(types: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """types and the new ones; an error where a key is there already."""
     if not types.join(new.select(key), key, "left_semi").isEmpty():

@@ -172,6 +172,19 @@ def s04(spark, d):
     return out
 
 
+@query("s07_registry", sql.with_(_TYPES + "," + _RELS, "SELECT kind AS name FROM types UNION ALL SELECT 'OWN' UNION ALL SELECT label FROM rels"))
+def s07(spark, d):
+    """Saved entity types come back; relationship types, which were not saved, are the defaults."""
+    from taleloom.sources.shared import written
+
+    root = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp(prefix='taleloom-registry-')}/registry-{next(_runs)}-{spark.sparkContext.applicationId}"
+    store = vault.SnapshotStore(spark, root)
+    own = spark.createDataFrame([("OWN", "title", "rectangle", "#000000")], "kind string, label_prop string, shape string, color string")
+    rg.save_registry(store, {"entity_types": rg.registered(rg.entity_types(spark), own, "kind")})
+    found = rg.load_registry(store, spark)
+    return written(found["entity_types"].select(c("kind").alias("name")).unionByName(found["relationship_types"].select(c("label").alias("name"))))
+
+
 @query("s09_as_document", "SELECT doc_id, text AS back FROM documents WHERE text <> ''")
 def s09(spark, d):
     rows = table(spark, d, "documents").filter("text <> ''").select(c("doc_id").alias("id"), vault.as_document(c("text")).alias("content"))
