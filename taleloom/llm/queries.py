@@ -58,6 +58,14 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sentencepiece_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator over documents. The README has its cost."""
+    from taleloom.llm.sentencepiece_lattice import encode
+
+    out = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", vocabulary("piece_bpe_32k.model"))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from taleloom.llm.quality import quality_scores
 
@@ -111,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_quality": op9_quality,
     "op10_secrets": op10_secrets,
+    "sentencepiece_documents": sentencepiece_documents,
 }
 
 ORACLES: dict[str, str] = {
