@@ -130,7 +130,9 @@ _PMI = _X + ", pmi AS (SELECT a, b, weight, round(log2((weight / (SELECT count(*
 
 
 def pmi(spark, d):
-    out = en.with_pmi(cooc(spark, d), entities(spark, d), corpus.notes(spark, d).count())
+    found = written(extracted(spark, d))  # read twice below
+    notes = table(spark, d, "orders").count()  # a note per order
+    out = en.with_pmi(en.cooccurrence(en.memberships(found)), en.merged(found), notes)
     return out.select("a", "b", "weight", F.round("pmi", 6).alias("pmi"))
 
 

@@ -40,7 +40,7 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, customers, nations = (read(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
     part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.concat(F.lit("[ITEM:KEY|"), "p_name", F.lit("] by [FACTION:GUILD|"), "p_brand", F.lit("]")).alias("item"))
     items = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber").join(part, "l_partkey")
-    items = items.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "item"))), lambda x: x["item"]), ". ").alias("items"))
+    items = items.groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "item"))), lambda x: x["item"]), ". ").alias("items"))
     rows = orders.select("o_orderkey", "o_custkey", "o_orderdate").join(items.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey"), "left")  # both sides grow alike: neither is broadcast
     rows = rows.join(customers, F.col("o_custkey") == F.col("c_custkey")).join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
     k = F.col("o_orderkey")
