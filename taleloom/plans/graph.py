@@ -271,17 +271,17 @@ def g10(spark, d):
     return gr.frequent(*big(spark, d), 12)[1].select("a", "b")
 
 
-_EGO = _SMALL + ", sym AS (SELECT a AS u, b AS v FROM edges UNION SELECT b, a FROM edges), one AS (SELECT 'Brand#1' AS id UNION SELECT v FROM sym WHERE u = 'Brand#1'), two AS (SELECT id FROM one UNION SELECT v FROM sym JOIN one ON u = id)"
+_EGO = _SMALL + ", sym AS (SELECT a AS u, b AS v FROM edges UNION SELECT b, a FROM edges), one AS (SELECT 'Brand#19' AS id UNION SELECT v FROM sym WHERE u = 'Brand#19'), two AS (SELECT id FROM one UNION SELECT v FROM sym JOIN one ON u = id)"
 
 
 @query("g11_ego_nodes", sql.with_(_EGO, "SELECT id FROM two"))
 def g11(spark, d):
-    return gr.ego(*small(spark, d), "Brand#1", 2)[0].select("id")
+    return gr.ego(*small(spark, d), "Brand#19", 2)[0].select("id")
 
 
 @query("g11_ego_edges", sql.with_(_EGO, "SELECT a, b FROM edges WHERE a IN (SELECT id FROM one) AND b IN (SELECT id FROM one)"))
 def g11e(spark, d):
-    return gr.ego(*small(spark, d), "Brand#1", 1)[1].select("a", "b")
+    return gr.ego(*small(spark, d), "Brand#19", 1)[1].select("a", "b")
 
 
 @query("g12_cytoscape", sql.with_(_BIG, "SELECT 'nodes' AS \"group\", count(*) AS n FROM nodes UNION ALL SELECT 'edges', count(*) FROM edges"))
