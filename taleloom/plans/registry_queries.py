@@ -16,6 +16,7 @@ from taleloom.plans import sql
 from taleloom.plans.markup import _ENTITIES
 from taleloom.plans.registry import query, table
 from taleloom.sources import corpus, vault
+from taleloom.sources.shared import spread
 
 c = F.col
 _TYPES = "types AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', 'title', 'rectangle', '{COLORS[k]}')" for k in KINDS) + ") t(kind, label_prop, shape, color))"
@@ -206,7 +207,7 @@ def rich(spark, d):
         F.lit('{"type":"doc","content":[{"type":"heading","content":['), plain, F.lit(']},{"type":"paragraph","content":['), marked, F.lit(","), link,
         F.lit(']},{"type":"bulletList","content":[{"type":"listItem","content":[{"type":"paragraph","content":['), tagged, F.lit("]}]}]}]}"),
     )
-    return table(spark, d, "orders").select(c("o_orderkey").cast("string").alias("id"), content.alias("content"))
+    return spread(table(spark, d, "orders")).select(c("o_orderkey").cast("string").alias("id"), content.alias("content"))
 
 
 _BR = "chr(10)"

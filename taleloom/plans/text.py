@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from taleloom.functions.constants import STOP_WORDS
 from taleloom.operators import textstats as ts
 from taleloom.plans.registry import query, table
+from taleloom.sources.shared import spread
 
 _STATS = r"""
 WITH base AS (SELECT doc_id, text, regexp_extract_all(text, '[\w''-]+') AS w,
@@ -42,7 +43,7 @@ _COLUMNS = {
 
 def _stats(name: str, *columns: str) -> None:
     def run(spark, sf_dir):
-        out = ts.analyze(table(spark, sf_dir, "documents"), "doc_id")
+        out = ts.analyze(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id")
         return out.select("doc_id", *[F.round(c, 6).alias(c) if c == "sentence_length_variation" else c for c in columns])
 
     query(name, _STATS + "SELECT doc_id, " + ", ".join(f"{_COLUMNS[c]} AS {c}" for c in columns) + " FROM stats")(run)
@@ -75,32 +76,32 @@ WITH w AS (SELECT doc_id, regexp_extract_all(text, '[\w''-]+') AS w FROM documen
 
 @query("x12_keyword_density", _KEYWORDS + "SELECT * FROM top")
 def x12(spark, sf_dir):
-    return ts.keyword_density(table(spark, sf_dir, "documents"), "doc_id")
+    return ts.keyword_density(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id")
 
 
 @query("x13_stop_words", f"SELECT doc_id, CAST(len(list_filter(regexp_extract_all(lower(text), '[\\w''-]+'), lambda x: x IN ({_STOP}))) AS BIGINT) AS stop_words FROM documents")
 def x13(spark, sf_dir):
     lowered = ts.words(F.lower("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(F.filter(lowered, lambda w: w.isin(*STOP_WORDS))).cast("long").alias("stop_words"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.size(F.filter(lowered, lambda w: w.isin(*STOP_WORDS))).cast("long").alias("stop_words"))
 
 
 for _least in (1, 2, 3):
     @query(f"x15_keywords_at_least_{_least}", _KEYWORDS + f'SELECT * FROM top WHERE "count" >= {_least}')
     def x15(spark, sf_dir, least=_least):
-        return ts.with_least_count(ts.keyword_density(table(spark, sf_dir, "documents"), "doc_id"), least)
+        return ts.with_least_count(ts.keyword_density(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id"), least)
 
 
 @query("x16_flow_hint", _STATS + f""", f AS (SELECT doc_id, {_COLUMNS['flow_score']} AS score FROM stats)
 SELECT doc_id, CASE WHEN score < 40 THEN 'Try varying your sentence lengths for better flow.' WHEN score < 70 THEN 'Good sentence variation. Keep it up!'
        ELSE 'Excellent writing flow with dynamic sentences.' END AS hint FROM f""")
 def x16(spark, sf_dir):
-    return ts.analyze(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", ts.flow_hint(F.col("flow_score")).alias("hint"))
+    return ts.analyze(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id").select("doc_id", ts.flow_hint(F.col("flow_score")).alias("hint"))
 
 
 @query("x17_time_text", _STATS + """SELECT doc_id, CASE WHEN read_s = 0 THEN '< 1 sec' WHEN read_s // 60 = 0 THEN read_s || ' sec' WHEN read_s % 60 = 0 THEN (read_s // 60) || ' min'
        ELSE (read_s // 60) || ' min ' || (read_s % 60) || ' sec' END AS reading_time FROM stats""")
 def x17(spark, sf_dir):
-    return ts.analyze(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", ts.time_text(F.col("reading_minutes"), F.col("reading_seconds")).alias("reading_time"))
+    return ts.analyze(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id").select("doc_id", ts.time_text(F.col("reading_minutes"), F.col("reading_seconds")).alias("reading_time"))
 
 
 @query("x18_not_blank", r"SELECT conv_id, turn, len(regexp_extract_all(text, '[\w''-]+')) AS word_count FROM conversations WHERE regexp_matches(text, '\S')")

@@ -22,3 +22,10 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{root.rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores, if its input has fewer (one small file): for work that is heavy a row.
+    A table of many files stays as it is and is not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
