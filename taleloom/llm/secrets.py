@@ -1,9 +1,9 @@
 """Secret scans through nested encodings.
 
-A worklist starts with the text. A layer that is taken off the list is scanned; every run in it that decodes
-(percent escapes, Unicode escapes, base64 with or without compression, hex of text) goes onto the list as a layer of
-its own, with a map from its characters back to the text's. Layers seen before, by place and content, are not
-taken again, so the list runs empty: a fixpoint.
+A worklist starts with the text. A layer that is taken off the list is scanned; what it decodes to goes onto the list
+as layers of their own, with a map from their characters back to the text's: the whole layer with its escapes undone
+(percent, Unicode), and every run that decodes (base64 with or without compression, hex of text). Layers seen
+before, by place and content, are not taken again, so the list runs empty: a fixpoint.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ UNFOLDED = 1 << 24
 PRINTABLE = 0.9
 
 _ESCAPED = re.compile(r"%[0-9A-Fa-f]{2}|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]{1,6}\}|\\x[0-9a-fA-F]{2}")
-_TOKEN = re.compile(r"\S*(?:%[0-9A-Fa-f]{2}|\\u[0-9a-fA-F{]|\\x[0-9a-fA-F])\S*")
+_TOKEN = re.compile(r"\S+")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _HEXTEXT = re.compile(r"(?:[0-9a-fA-F]{2}){16,}")
 
@@ -78,21 +78,23 @@ def _unfold(data: bytes) -> bytes | None:
     return out if reader.eof else None
 
 
+def _rewritten(text: str, changes: list[tuple[int, int, str]]) -> tuple[str, np.ndarray, np.ndarray]:
+    """The text with each (start, end, by) replaced, in order, and where each of its characters starts and ends."""
+    out, starts, ends, at = [], [], [], 0
+    for start, end, by in [*changes, (len(text), len(text), "")]:
+        out += [text[at:start], by]
+        starts += [np.arange(at, start), np.full(len(by), start)]
+        ends += [np.arange(at + 1, start + 1), np.full(len(by), end)]
+        at = end
+    return "".join(out), np.concatenate(starts), np.concatenate(ends)
+
+
 def _unescape(text: str) -> tuple[str, np.ndarray, np.ndarray] | None:
     """Escapes undone, with where each character starts and ends. Percent escapes that follow each
     other are bytes of UTF-8; what is no UTF-8 stays."""
-    out: list[str] = []
-    starts: list[int] = []
-    ends: list[int] = []
-    at, n, changed = 0, len(text), False
-    while at < n:
-        m = _ESCAPED.match(text, at)
-        if not m:
-            out.append(text[at])
-            starts.append(at)
-            ends.append(at + 1)
-            at += 1
-            continue
+    changes, at = [], 0
+    while m := _ESCAPED.search(text, at):
+        at = m.start()
         if m[0][0] == "%":
             size = 1 if int(m[0][1:], 16) < 0x80 else 2 if int(m[0][1:], 16) < 0xE0 else 3 if int(m[0][1:], 16) < 0xF0 else 4
             run = text[at : at + 3 * size]
@@ -105,14 +107,11 @@ def _unescape(text: str) -> tuple[str, np.ndarray, np.ndarray] | None:
             code = int(m[0].strip("\\ux{}"), 16)
             got, width = (chr(code) if code < 0xD800 or 0xDFFF < code <= 0x10FFFF else None), len(m[0])
         if got is None:
-            got, width = text[at], 1
-        else:
-            changed = True
-        out.append(got)
-        starts.append(at)
-        ends.append(at + width)
+            at += 1
+            continue
+        changes.append((at, at + width, got))
         at += width
-    return ("".join(out), np.array(starts), np.array(ends)) if changed else None
+    return _rewritten(text, changes) if changes else None
 
 
 def _from_bytes(data: bytes, start: int, end: int, per: tuple[int, int]) -> tuple[str, np.ndarray, np.ndarray] | None:
@@ -132,9 +131,11 @@ def _from_bytes(data: bytes, start: int, end: int, per: tuple[int, int]) -> tupl
 def _layers(text: str) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
     """The layers directly below, each with the places of its characters in `text`."""
     if "%" in text or "\\" in text:
-        for m in _TOKEN.finditer(text):
-            if got := _unescape(m[0]):
-                yield got[0], got[1] + m.start(), got[2] + m.start()
+        if whole := _unescape(text):  # a key, its separator and its value may be escaped one by one
+            yield whole
+            for m in _TOKEN.finditer(text):  # what stands before a token may take the place of its key
+                if _ESCAPED.search(m[0]) and (got := _unescape(m[0])):
+                    yield got[0], got[1] + m.start(), got[2] + m.start()
     for m in _BASE64.finditer(text):
         run = m[0].rstrip("=").replace("-", "+").replace("_", "/")
         if len(run) % 4 == 1:

@@ -60,6 +60,18 @@ def test_spans_point_at_the_layer():
     assert kind == "assign" and urllib.parse.unquote(text[start:end]).startswith('password = "hunter2abc')
 
 
+@pytest.mark.parametrize("secret", ["password%3A hunter22xyz", '"pass\\u0077ord": "hunter22xyz', "password = %68unter22xyz", "password %253D hunter22xyz", "%74oken  \\x3d 'abcdef%31"])
+def test_escapes_beside_plain_spaces(secret):
+    text = f"begin é {secret}, end"
+    at = 8 + (secret[0] == '"')
+    assert secrets.secrets(text) == ([], [(at, 8 + len(secret), "assign")])
+    assert "hunter22" not in secrets.masked(text, secrets.secrets(text)[1])
+
+
+def test_a_key_before_an_escaped_secret():
+    assert (8, 24, "assign") in secrets.secrets("secret= token%3Aabcdefgh")[1]
+
+
 def test_a_layer_that_decodes_for_ever_ends():
     text = "%2525252525252525252541" + "%25" * 50
     assert secrets.secrets(text) == ([], [])
