@@ -77,14 +77,24 @@ def _cell(pivots: np.ndarray, k: int, share: float):
             one = one[np.argsort(ids[one], kind="stable")]
             ids, x = ids[one], x[one]
             query_ids = queries["query_id"].to_numpy()
+            # Copies of a vector have one score, so their least ids go first: they are searched as one vector.
+            x, place = np.unique(x, axis=0, return_inverse=True)
+            by_vector = np.argsort(place.ravel(), kind="stable")  # the ids of one vector in a row, ascending
+            ids, first = ids[by_vector], np.searchsorted(place.ravel()[by_vector], np.arange(len(x) + 1))
+            copies = [np.arange(a, min(b, a + k + 1)) for a, b in zip(first[:-1], first[1:], strict=True)]  # one may be the query's own
+            vector = np.repeat(np.arange(len(x)), np.diff(first))
+            count = min(len(x), max(RERANKED_ROWS, k, int(np.ceil(share * len(ids)))))
             posted, asked = weights(x, pivots), weights(q, pivots)
-            count = min(len(ids), max(RERANKED_ROWS, k, int(np.ceil(share * len(ids)))))
             for at in range(0, len(q), 256):
                 near = agreement(asked[at : at + 256], posted)
                 for i, row in enumerate(near, at):
-                    best = np.argpartition(-row.astype(np.int32), count - 1)[:count] if count < len(ids) else np.arange(len(ids))
-                    best = np.sort(best[ids[best] != query_ids[i]])
-                    score = (x[best] * q[i]).sum(axis=1)
+                    best = np.argsort(row.max() - row, kind="stable")[:count] if count < len(x) else np.arange(len(x))
+                    score = np.zeros(len(x))
+                    score[best] = (x[best] * q[i]).sum(axis=1)
+                    best = np.concatenate([copies[v] for v in best])
+                    best = best[ids[best] != query_ids[i]]
+                    best = best[np.argsort(ids[best], kind="stable")]
+                    score = score[vector[best]]
                     top = np.lexsort((ids[best], -score))
                     if (ids[best][1:] == ids[best][:-1]).any():  # an id with several vectors: its best one
                         top = top[np.sort(np.unique(ids[best][top], return_index=True)[1])]

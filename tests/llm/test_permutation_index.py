@@ -65,5 +65,19 @@ def test_recall(spark):
     assert hits / (20 * 300) >= 0.95
 
 
+def test_many_copies(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(4000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[rng.permutation(4000)[:1400]] = x[0]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    group = np.flatnonzero((x == x[0]).all(axis=1))
+    asked = group[::50].tolist()
+    got = {}
+    for r in index.search(table, F.col("vec_id").isin(asked)).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {q: group[group != q][:20].tolist() for q in asked}
+
+
 def test_no_vectors(spark):
     assert index.search(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).count() == 0
