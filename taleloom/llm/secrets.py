@@ -9,7 +9,6 @@ before, by place and content, are not taken again, so the list runs empty: a fix
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
 import re
 import zlib
@@ -35,13 +34,16 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # a run of [0-9a-f]+ of 24 characters or mor
 #: Characters that a compressed layer may unfold to; beyond it the layer is cut off by the decompressor and
 #: not read at all, so that a bomb costs no more than this.
 UNFOLDED = 1 << 24
-#: A layer is text if this share of its characters is printable.
-PRINTABLE = 0.9
 
 _ESCAPED = re.compile(r"%[0-9A-Fa-f]{2}|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]{1,6}\}|\\x[0-9a-fA-F]{2}")
 _TOKEN = re.compile(r"\S+")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-_HEXTEXT = re.compile(r"(?:[0-9a-fA-F]{2}){16,}")
+_HEXTEXT = re.compile(r"[0-9a-fA-F]{32,}")
+_BREAK = re.compile(r"(?<=[A-Za-z0-9+/_-])\r?\n[\x20\t]*(?=[A-Za-z0-9+/_-])")
+#: Bytes without so many characters of ASCII in a row hold no secret, encoded or not: the shortest is token=abcdef.
+_TEXTUAL = re.compile(rb"[\t\n\r\x20-\x7e]{12,}")
+#: The first two bytes of zlib data, or three of gzip data.
+_HEADER = re.compile(b"\x1f\x8b\x08|" + b"|".join(re.escape(bytes([a, b])) for a in range(8, 0x80, 16) for b in range(256) if (a << 8 | b) % 31 == 0 and not b & 32), re.S)
 
 Span = tuple[int, int, str]
 
@@ -57,19 +59,8 @@ def scan(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
-def _readable(data: bytes) -> str | None:
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    good = sum(c.isprintable() or c in "\n\r\t" for c in text)
-    return text if text and good >= PRINTABLE * len(text) else None
-
-
 def _unfold(data: bytes) -> bytes | None:
     """What zlib or gzip data unfolds to."""
-    if not (data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0)):
-        return None
     reader = zlib.decompressobj(47)
     try:
         out = reader.decompress(data, UNFOLDED)
@@ -114,18 +105,37 @@ def _unescape(text: str) -> tuple[str, np.ndarray, np.ndarray] | None:
     return _rewritten(text, changes) if changes else None
 
 
-def _from_bytes(data: bytes, start: int, end: int, per: tuple[int, int]) -> tuple[str, np.ndarray, np.ndarray] | None:
-    """Decoded bytes as a layer: byte k came from the group of per[0] characters that gives per[1] bytes."""
-    unfolded = _unfold(data)
-    text = _readable(data if unfolded is None else unfolded)
-    if text is None:
-        return None
-    if unfolded is not None:
-        return text, np.full(len(text), start), np.full(len(text), end)
-    sizes = np.array([len(c.encode("utf-8")) for c in text])
-    last = np.cumsum(sizes)
-    starts = start + (last - sizes) // per[1] * per[0]
-    return text, starts, np.minimum(end, start + ((last - 1) // per[1] + 1) * per[0])
+def _runs(pattern: re.Pattern[str], text: str) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """Runs that match, and those that do once breaks of lines inside them are taken out, with their characters' places."""
+    for m in pattern.finditer(text):
+        yield m[0], np.arange(m.start(), m.end()), np.arange(m.start() + 1, m.end() + 1)
+    if "\n" in text and (breaks := [(m.start(), m.end(), "") for m in _BREAK.finditer(text)]):
+        joined, starts, ends = _rewritten(text, breaks)
+        for m in pattern.finditer(joined):
+            if ends[m.end() - 1] - starts[m.start()] > len(m[0]):
+                yield m[0], starts[m.start() : m.end()], ends[m.start() : m.end()]
+
+
+def _from_bytes(data: bytes, starts: np.ndarray, ends: np.ndarray, per: tuple[int, int]) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """Decoded bytes as layers: byte k came from the group of per[0] characters that gives per[1] bytes. All of them
+    are one layer, in which what is no UTF-8 stays as surrogates; compressed data, wherever it starts, is another."""
+
+    def last(byte: np.ndarray | int) -> np.ndarray | int:
+        return ends[np.minimum(len(ends), (byte // per[1] + 1) * per[0]) - 1]
+
+    if _TEXTUAL.search(data):
+        text = data.decode("utf-8", "surrogateescape")
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        sizes = np.where(code >> 8 == 0xDC, 1, 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000))
+        after = np.cumsum(sizes)
+        yield text, starts[(after - sizes) // per[1] * per[0]], last(after - 1)
+    at = 0
+    while m := _HEADER.search(data, at):
+        at = m.start() + 1
+        unfolded = _unfold(data[m.start() :])
+        if unfolded and _TEXTUAL.search(unfolded):
+            text = unfolded.decode("utf-8", "surrogateescape")
+            yield text, np.full(len(text), starts[m.start() // per[1] * per[0]]), np.full(len(text), ends[-1])
 
 
 def _layers(text: str) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
@@ -136,19 +146,16 @@ def _layers(text: str) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
             for m in _TOKEN.finditer(text):  # what stands before a token may take the place of its key
                 if _ESCAPED.search(m[0]) and (got := _unescape(m[0])):
                     yield got[0], got[1] + m.start(), got[2] + m.start()
-    for m in _BASE64.finditer(text):
-        run = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(run) % 4 == 1:
-            run = run[:-1]
-        try:
-            data = base64.b64decode(run + "=" * (-len(run) % 4))
-        except (binascii.Error, ValueError):
-            continue
-        if got := _from_bytes(data, m.start(), m.end(), (4, 3)):
-            yield got
-    for m in _HEXTEXT.finditer(text):
-        if got := _from_bytes(bytes.fromhex(m[0]), m.start(), m.end(), (2, 1)):
-            yield got
+    for run, starts, ends in _runs(_BASE64, text):
+        digits = run.rstrip("=").replace("-", "+").replace("_", "/")
+        for skip in range(4):  # what stands before the data may be of its alphabet
+            part = digits[skip:]
+            part = part[: len(part) - (len(part) % 4 == 1)]
+            yield from _from_bytes(base64.b64decode(part + "=" * (-len(part) % 4)), starts[skip:], ends[skip:], (4, 3))
+    for run, starts, ends in _runs(_HEXTEXT, text):
+        for skip in range(2):
+            part = run[skip : len(run) - (len(run) - skip) % 2]
+            yield from _from_bytes(bytes.fromhex(part), starts[skip:], ends[skip : skip + len(part)], (2, 1))
 
 
 def secrets(text: str) -> tuple[list[Span], list[Span]]:

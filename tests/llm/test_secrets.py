@@ -1,6 +1,7 @@
 import base64
 import gzip
 import hashlib
+import random
 import re
 import urllib.parse
 import zlib
@@ -72,6 +73,45 @@ def test_a_key_before_an_escaped_secret():
     assert (8, 24, "assign") in secrets.secrets("secret= token%3Aabcdefgh")[1]
 
 
+def wrapped(data, width=76, by="\n"):
+    text = base64.b64encode(data).decode()
+    return by.join(text[i : i + width] for i in range(0, len(text), width))
+
+
+@pytest.mark.parametrize("by", ["\n", "\r\n", "\n    "])
+def test_base64_over_lines(by):
+    for inner in ("x" * 50 + " " + SECRET, "x" * 35 + " " + SECRET + " y" * 100):
+        one = wrapped(inner.encode(), by=by)
+        text = f"begin {one} end"
+        start, end, kind = max(secrets.secrets(text)[1], key=lambda s: s[1] - s[0])  # a line alone may show a part
+        lines = text[start:end].replace(by, "")
+        assert kind == "assign" and b"hunter2abc" in base64.b64decode(lines + "=" * (-len(lines) % 4))
+    rng = random.Random(3)
+    noise = "".join(rng.choice("ghijklmnop ") for _ in range(300))
+    for pack in (zlib.compress, gzip.compress):
+        text = f"begin {wrapped(pack((noise + SECRET).encode()), by=by)} end"
+        assert (6, len(text) - 4, "assign") in secrets.secrets(text)[1]
+
+
+@pytest.mark.parametrize("before", ["/blob/", "a", "ab", "abc", "x-", "path/to_the-"])
+def test_base64_after_its_own_alphabet(before):
+    for data in (SECRET.encode(), zlib.compress(SECRET.encode())):
+        text = f"u {before}{base64.b64encode(data).decode()} v"
+        found = [s for s in secrets.secrets(text)[1] if s[2] == "assign"]
+        assert found and all(2 + len(before) <= a < b <= len(text) - 2 for a, b, _ in found)
+    assert secrets.secrets(f"u g1{SECRET.encode().hex()} v")[1] and secrets.secrets(f"u 1{SECRET.encode().hex()} v")[1]
+
+
+def test_bytes_that_are_no_utf8():
+    for data in (b"\xff" + SECRET.encode(), b"\x00\xc3(" * 30 + SECRET.encode() + b"\xe9", "é😀".encode() + b"\xff" + SECRET.encode()):
+        for one, size in ((base64.b64encode(data).decode(), 4 / 3), (data.hex(), 2)):
+            (start, end, _), = [s for s in secrets.secrets(f"u {one} v")[1] if s[2] == "assign"]
+            at = data.index(b"password")
+            assert 2 + at * size - 4 < start <= 2 + at * size and end >= 2 + (at + 22) * size
+        packed = base64.b64encode(zlib.compress(data)).decode()
+        assert (2, 2 + len(packed), "assign") in secrets.secrets(f"u {packed} v")[1]
+
+
 def test_a_layer_that_decodes_for_ever_ends():
     text = "%2525252525252525252541" + "%25" * 50
     assert secrets.secrets(text) == ([], [])
