@@ -1,7 +1,7 @@
 """Secret scans through nested encodings.
 
 A worklist starts with the text. A layer that is taken off the list is scanned; what it decodes to goes onto the list
-as layers of their own, with a map from their characters back to the text's: the whole layer with its escapes undone
+(the last first) as layers of their own, with a map from their characters back to the text's: the whole layer with its escapes undone
 (percent, Unicode), and every run that decodes (base64 with or without compression, hex of text). Layers seen
 before, by place and content, are not taken again, so the list runs empty: a fixpoint.
 """
@@ -9,10 +9,10 @@ before, by place and content, are not taken again, so the list runs empty: a fix
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import re
 import zlib
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,9 +31,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 ACCESS_CHARS = 20
 HEX = re.compile(r"[0-9a-f]{24,}")  # a run of [0-9a-f]+ of 24 characters or more
 
-#: Characters that a compressed layer may unfold to; beyond it the layer is cut off by the decompressor and
-#: not read at all, so that a bomb costs no more than this.
-UNFOLDED = 1 << 24
+#: Bytes of a compressed layer that are held at once: a longer one is read to its end in pieces. A piece begins with the
+#: end of the one before: the encoded run that goes on there, up to half a piece, and OVERLAP bytes before it.
+UNFOLDED, OVERLAP = 1 << 24, 1 << 16
 
 _ESCAPED = re.compile(r"%[0-9A-Fa-f]{2}|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]{1,6}\}|\\x[0-9a-fA-F]{2}")
 _TOKEN = re.compile(r"\S+")
@@ -42,6 +42,7 @@ _HEXTEXT = re.compile(r"[0-9a-fA-F]{32,}")
 _BREAK = re.compile(r"(?<=[A-Za-z0-9+/_-])\r?\n[\x20\t]*(?=[A-Za-z0-9+/_-])")
 #: Bytes without so many characters of ASCII in a row hold no secret, encoded or not: the shortest is token=abcdef.
 _TEXTUAL = re.compile(rb"[\t\n\r\x20-\x7e]{12,}")
+_RUN_BACKWARDS = re.compile(rb"(?:[A-Za-z0-9+/_=%\\{}\r-]|[\x20\t]*\n)*+")
 #: The first two bytes of zlib data, or three of gzip data.
 _HEADER = re.compile(b"\x1f\x8b\x08|" + b"|".join(re.escape(bytes([a, b])) for a in range(8, 0x80, 16) for b in range(256) if (a << 8 | b) % 31 == 0 and not b & 32), re.S)
 
@@ -59,14 +60,39 @@ def scan(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
-def _unfold(data: bytes) -> bytes | None:
-    """What zlib or gzip data unfolds to."""
-    reader = zlib.decompressobj(47)
-    try:
-        out = reader.decompress(data, UNFOLDED)
-    except zlib.error:
-        return None
-    return out if reader.eof else None
+def _inflated(data: bytes, at: int) -> Iterator[tuple[bytes, int, bool]]:
+    """What zlib or gzip data at a place unfolds to, with the members that follow it and what can be read of one that is
+    damaged or ends early: bytes, the place reached, and whether a member ends there."""
+    while _HEADER.match(data, at):
+        reader = zlib.decompressobj(47)
+        while not reader.eof:
+            if at >= len(data):
+                return
+            some, before = data[at : at + 1024], reader.copy()  # unfolds to about 1 MiB at most
+            try:
+                out = reader.decompress(some)
+            except zlib.error:
+                with contextlib.suppress(zlib.error):
+                    for i in range(len(some)):
+                        yield before.decompress(some[i : i + 1]), at + i + 1, False
+                return
+            at += len(some) - len(reader.unused_data)
+            yield out, at, reader.eof
+
+
+def _unfold(data: bytes, at: int) -> Iterator[tuple[bytes, int, bool]]:
+    """_inflated() in overlapping pieces."""
+    held, new, whole = bytearray(), 0, False
+    for out, at, whole in _inflated(data, at):
+        held += out
+        new += len(out)
+        if len(held) >= UNFOLDED:
+            yield bytes(held), at, whole
+            run = _RUN_BACKWARDS.match(held[: -UNFOLDED // 2 : -1]).end()
+            del held[: -(OVERLAP + (run if run < UNFOLDED // 2 - 1 else 0))]
+            new = 0
+    if new or whole:
+        yield bytes(held), at, whole
 
 
 def _rewritten(text: str, changes: list[tuple[int, int, str]]) -> tuple[str, np.ndarray, np.ndarray]:
@@ -131,11 +157,14 @@ def _from_bytes(data: bytes, starts: np.ndarray, ends: np.ndarray, per: tuple[in
         yield text, starts[(after - sizes) // per[1] * per[0]], last(after - 1)
     at = 0
     while m := _HEADER.search(data, at):
-        at = m.start() + 1
-        unfolded = _unfold(data[m.start() :])
-        if unfolded and _TEXTUAL.search(unfolded):
-            text = unfolded.decode("utf-8", "surrogateescape")
-            yield text, np.full(len(text), starts[m.start() // per[1] * per[0]]), np.full(len(text), ends[-1])
+        at, first = m.start() + 1, starts[m.start() // per[1] * per[0]]
+        for unfolded, reached, whole in _unfold(data, m.start()):
+            if _TEXTUAL.search(unfolded):
+                text = unfolded.decode("utf-8", "surrogateescape")
+                end = ends[-1] if reached == len(data) else last(reached - 1)
+                yield text, np.broadcast_to(first, len(text)), np.broadcast_to(end, len(text))
+            if whole:
+                at = reached
 
 
 def _layers(text: str) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
@@ -158,20 +187,32 @@ def _layers(text: str) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
             yield from _from_bytes(bytes.fromhex(part), starts[skip:], ends[skip : skip + len(part)], (2, 1))
 
 
+def _below(layer: str, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """The layers directly below a layer, with the places of their characters in the text."""
+    for text, s, e in _layers(layer):
+        if not starts.strides[0] or not s.strides[0]:  # from compressed data: one place for all characters
+            yield text, np.broadcast_to(starts[s[0]], len(text)), np.broadcast_to(ends[e[-1] - 1], len(text))
+        else:
+            yield text, starts[s], ends[e - 1]
+
+
 def secrets(text: str) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans: those of the text itself and those of every layer below, as spans of the text."""
     order = {k: i for i, k in enumerate(KINDS)}
     base = sorted(scan(text), key=lambda s: (s[0], order[s[2]], s[1]))
     found, seen = set(base), set()
-    work = deque(_layers(text))
+    work = [_layers(text)]  # layers are made as they are asked for: those that wait take no memory
     while work:
-        layer, starts, ends = work.popleft()
+        if not (below := next(work[-1], None)):
+            work.pop()
+            continue
+        layer, starts, ends = below
         key = (int(starts[0]), int(ends[-1]), hashlib.blake2b(layer.encode("utf-8", "surrogatepass"), digest_size=16).digest())
         if key in seen:
             continue
         seen.add(key)
         found.update((int(starts[a]), int(ends[b - 1]), kind) for a, b, kind in scan(layer))
-        work.extend((t, starts[s], ends[e - 1]) for t, s, e in _layers(layer))
+        work.append(_below(layer, starts, ends))
     return base, sorted(found, key=lambda s: (s[0], order[s[2]], s[1]))
 
 

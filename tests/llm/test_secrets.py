@@ -112,6 +112,34 @@ def test_bytes_that_are_no_utf8():
         assert (2, 2 + len(packed), "assign") in secrets.secrets(f"u {packed} v")[1]
 
 
+def found_in(data):
+    one = base64.b64encode(data).decode()
+    return any(start == 2 and end <= 2 + len(one) and kind == "assign" for start, end, kind in secrets.secrets(f"u {one} v")[1])
+
+
+def test_long_compressed_layers():
+    filler = b"w, " * (6 << 20)  # 18 MiB
+    assert found_in(zlib.compress(SECRET.encode() + filler))
+    assert found_in(gzip.compress(filler + SECRET.encode()))
+    assert not found_in(gzip.compress(filler))
+    for cut in range(4, len(SECRET), 5):  # the secret lies over the border of two pieces
+        assert found_in(zlib.compress((b"w, " * (6 << 20))[: secrets.UNFOLDED - cut] + SECRET.encode() + filler[: 1 << 20]))
+    rng = random.Random(4)
+    inner = wrapped(zlib.compress("".join(rng.choice("ghijklmnop ") for _ in range(20000)).encode() + SECRET.encode())).encode()
+    assert found_in(zlib.compress(filler[: secrets.UNFOLDED - 5000] + b" " + inner + b" " + filler[: 1 << 20]))
+
+
+def test_members_and_streams_that_end_early():
+    rng = random.Random(5)
+    noise = "".join(rng.choice("ghijklmnop ") for _ in range(3000)).encode()
+    assert found_in(gzip.compress(noise) + gzip.compress(SECRET.encode()))
+    assert found_in(gzip.compress(noise + SECRET.encode()[:12]) + gzip.compress(SECRET.encode()[12:]))
+    for pack in (zlib.compress, gzip.compress):
+        short = pack(SECRET.encode() + noise)[:-300]
+        for damaged in (short, short + b"\xff" * 300, pack(SECRET.encode() + noise)[:-4] + b"\0\0\0\0"):
+            assert found_in(damaged)
+
+
 def test_a_layer_that_decodes_for_ever_ends():
     text = "%2525252525252525252541" + "%25" * 50
     assert secrets.secrets(text) == ([], [])
