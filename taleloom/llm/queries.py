@@ -41,29 +41,28 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _sentencepiece(rows: DataFrame, *keys: str) -> DataFrame:
     from taleloom.llm.sentencepiece_lattice import SPACE, decode, encode
 
     path = vocabulary("piece_bpe_32k.model")
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
-    out = encode(rows, "text", path)
+    out = encode(rows.select(*keys, F.coalesce("text", F.lit("")).alias("text")), "text", path)
     spaces = F.replace(F.col("text"), F.lit(SPACE), F.lit(" "))  # the mark for a space is read as one
     return out.select(
-        "conv_id",
-        "turn",
-        "role",
+        *keys,
         F.size("ids").cast("long").alias("n_ids"),
         F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
         (decode(F.col("ids"), path) == spaces).alias("same_text"),
     )
 
 
-def sentencepiece_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same operator over documents. The README has its cost."""
-    from taleloom.llm.sentencepiece_lattice import encode
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents. The README has its cost."""
+    return _sentencepiece(table(spark, sf_dir, "documents"), "doc_id")
+
 
-    out = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", vocabulary("piece_bpe_32k.model"))
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"))
+def sentencepiece_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator over the turns of conversations."""
+    return _sentencepiece(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_quality": op9_quality,
     "op10_secrets": op10_secrets,
-    "sentencepiece_documents": sentencepiece_documents,
+    "sentencepiece_conversations": sentencepiece_conversations,
 }
 
 ORACLES: dict[str, str] = {

@@ -1,9 +1,11 @@
+import hashlib
 import random
 
 import public_tokenizers
 import sentencepiece
 from pyspark.sql import functions as F
 
+from taleloom.llm.queries import QUERIES
 from taleloom.llm.sentencepiece_lattice import SPACE, decode, encode
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
@@ -26,3 +28,15 @@ def test_nulls_and_no_rows(spark):
     schema = "id long, text string"
     assert [r.ids for r in encode(spark.createDataFrame([(1, None)], schema), "text", PATH).collect()] == [[]]
     assert encode(spark.createDataFrame([], schema), "text", PATH).count() == 0
+
+
+def test_queries_encode_documents_and_conversations(spark, tmp_path):
+    model = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    rows = [(1, "the nation  of é"), (2, None), (2, "y" * 60), (3, "a" + SPACE + "b")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 0, "user", t) for i, t in rows], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    ids = [(i, model.encode(t or "")) for i, t in rows]
+    want = sorted((i, len(x), hashlib.sha256(",".join(map(str, x)).encode()).hexdigest(), True) for i, x in ids)
+    assert sorted(map(tuple, QUERIES["op8_sentencepiece"](spark, str(tmp_path)).collect())) == want
+    turns = QUERIES["sentencepiece_conversations"](spark, str(tmp_path)).drop("turn", "role")
+    assert sorted(map(tuple, turns.collect())) == want
