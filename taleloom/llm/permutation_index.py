@@ -1,5 +1,6 @@
 """Approximate nearest neighbours by a permutation index.
 
+Vectors are first made equally long by one more component, so that the largest inner product is the nearest direction.
 A vector is represented by its nearest pivots, in order. It is posted, with its rank for them, in the inverted
 files of those pivots. A query reads the files of its own nearest pivots and adds up, for each vector met, how far
 the two orders agree: that ranks vectors by footrule distance (a pivot beyond the prefix counts as next after
@@ -23,6 +24,8 @@ from taleloom.llm.common import materialise
 SAMPLE, PIVOTS, PREFIX = 4096, 256, 64
 #: Share of a block that is reranked, and the least number: in small blocks the order by footrule is coarser.
 RERANKED, RERANKED_ROWS = 0.125, 256
+#: Vectors so many times as long as 99 of 100 are reranked for every query: beside their length others' differences are lost.
+LONG = 1000.0
 BLOCK, CHUNK, FAN = 2048, 4096, 32
 K = 20
 
@@ -37,6 +40,15 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.filter(F.size("embedding") == (sizes["n"] if sizes else 0))
 
 
+def levelled(vectors: np.ndarray, top: float) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors over the length `top`, with one more component that makes them as long as 1, and which ones are longer as it
+    is. A query gets 0 for it: the inner products stay in order, and the largest is then that of the nearest direction."""
+    vectors = vectors / top
+    with np.errstate(over="ignore"):
+        rest = 1 - (vectors * vectors).sum(axis=1)
+    return np.column_stack([vectors, np.sqrt(np.maximum(0, rest))]), np.flatnonzero(rest < -1e-6)
+
+
 def choose_pivots(sample: np.ndarray, count: int = PIVOTS) -> np.ndarray:
     """Unit vectors far from each other: each next one is the row whose nearest pivot so far is farthest."""
     rows = np.unique(sample / np.linalg.norm(sample, axis=1, keepdims=True), axis=0)
@@ -68,7 +80,7 @@ def agreement(queries: np.ndarray, posted: np.ndarray) -> np.ndarray:
     return total
 
 
-def _cell(pivots: np.ndarray, k: int, share: float):
+def _cell(pivots: np.ndarray, top_length: float, k: int, share: float):
     def find(key: tuple, block: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(block) and len(queries):
@@ -84,11 +96,13 @@ def _cell(pivots: np.ndarray, k: int, share: float):
             copies = [np.arange(a, min(b, a + k + 1)) for a, b in zip(first[:-1], first[1:], strict=True)]  # one may be the query's own
             vector = np.repeat(np.arange(len(x)), np.diff(first))
             count = min(len(x), max(RERANKED_ROWS, k, int(np.ceil(share * len(ids)))))
-            posted, asked = weights(x, pivots), weights(q, pivots)
+            level, longer = levelled(x, top_length)
+            posted, asked = weights(level, pivots), weights(np.column_stack([q, np.zeros(len(q))]), pivots)
             for at in range(0, len(q), 256):
                 near = agreement(asked[at : at + 256], posted)
                 for i, row in enumerate(near, at):
                     best = np.argsort(row.max() - row, kind="stable")[:count] if count < len(x) else np.arange(len(x))
+                    best = np.union1d(best, longer)
                     score = np.zeros(len(x))
                     score[best] = (x[best] * q[i]).sum(axis=1)
                     best = np.concatenate([copies[v] for v in best])
@@ -116,7 +130,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, share: float = RERA
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").collect()
     if not sample:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    pivots = choose_pivots(np.array([r[0] for r in sample]))
+    large = F.array_max(F.transform("embedding", F.abs))
+    length = large * F.sqrt(F.aggregate(F.transform("embedding", lambda x: x / large), F.lit(0.0), lambda a, x: a + x * x))
+    longest, usual = rows.select(length.alias("length")).agg(F.max("length"), F.percentile_approx("length", 0.99)).first()
+    top = min(longest, LONG * usual)
+    pivots = choose_pivots(levelled(np.array([r[0] for r in sample]), top)[0])
     queries = rows.filter(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("embedding").alias("asked"))
     blocks = -(-rows.count() // BLOCK)
     chunks = max(1, -(-queries.count() // CHUNK))
@@ -129,7 +147,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, share: float = RERA
 
     left = rows.select("vec_id", "embedding", part("vec_id", blocks).alias("block"), every(chunks).alias("chunk"))
     right = queries.select("query_id", "asked", every(blocks).alias("to_block"), part("query_id", chunks).alias("of_chunk"))
-    found = left.groupBy("block", "chunk").cogroup(right.groupBy("to_block", "of_chunk")).applyInPandas(_cell(pivots, k, share), "block int, query_id long, vec_ids array<long>, scores array<double>")
+    found = left.groupBy("block", "chunk").cogroup(right.groupBy("to_block", "of_chunk")).applyInPandas(_cell(pivots, top, k, share), "block int, query_id long, vec_ids array<long>, scores array<double>")
     found = found.select("block", "query_id", F.zip_with("vec_ids", "scores", lambda i, s: F.struct((-s).alias("far"), i.alias("vec_id"))).alias("best"))
     while True:
         found = found.withColumn("block", F.floor(F.col("block") / FAN))

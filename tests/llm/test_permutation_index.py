@@ -79,5 +79,21 @@ def test_many_copies(spark):
     assert got == {q: group[group != q][:20].tolist() for q in asked}
 
 
+def test_recall_of_unequal_norms(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(6000, 32))
+    x *= rng.lognormal(0, 1, size=(6000, 1)) / np.linalg.norm(x, axis=1, keepdims=True)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    hits, queries = 0, range(0, 6000, 60)
+    got = {}
+    for r in index.search(table, F.col("vec_id") % 60 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    for q in queries:
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(got[q] & set(np.argsort(-s)[:20].tolist()))
+    assert hits / (20 * len(queries)) >= 0.95
+
+
 def test_no_vectors(spark):
     assert index.search(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).count() == 0
