@@ -1,15 +1,14 @@
-"""Best-fit packing of token sequences, in bulk-synchronous rounds.
-
-Pieces are range-sorted by length over the cluster and ranked within each length; gaps are sorted by size, and
-those of one size stand in a row, in the order of their sequences. A round gives the unplaced pieces of
-one length to the smallest gaps that hold them (their successor in the sorted gaps). Equal pieces
-want the same gap: the piece of rank r gets the r-th gap, so no two get one. What a round fills comes back as
-smaller gaps, and rounds go on until every piece of that length has a place, the longest first.
-
-Equal pieces and equal gaps are interchangeable, so a round moves runs of them at once. A run is a
-range of ranks that takes its places in a range of sequences; the runs depend on the lengths (at most
-`capacity` different ones), not on the number of pieces. They are planned from the counts by length, and each
-piece finds its place from its length and rank, on its own executor.
+"""Best-fit packing of token sequences, in rounds that the driver plans.
+
+Pieces are range-sorted by length over the cluster and ranked within each length. A round gives the unplaced pieces of
+one length to the smallest gaps that hold them (their successor among the gap sizes). Equal pieces want the same
+gap: the piece of rank r gets the r-th gap, so no two get one. What a round fills comes back as smaller gaps, and
+rounds go on until every piece of that length has a place, the longest first.
+
+There are no sweeps over gaps on the cluster. Equal pieces and equal gaps are interchangeable, so a round moves runs of
+them at once: a range of ranks that takes its places in a range of sequences. The runs depend on the lengths (at
+most `capacity` different ones), not on the number of pieces, so one process on the driver plans them from
+the counts by length, and each piece finds its place from its length and rank, on its own executor.
 """
 
 from __future__ import annotations
