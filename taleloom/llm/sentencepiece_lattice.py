@@ -5,9 +5,9 @@ over such a border (checked when the table is read), so words are encoded on the
 substrings of bounded length, joined to the table, are the edges of its lattice; grouped by word, they are folded with a
 higher-order aggregate.
 
-The fold follows the table's kind. For pieces with log probabilities the best path is Viterbi's. The tables at
-hand are of the BPE kind: their scores give the order of merges, and the best sum of scores is another segmentation than
-the library's. So the fold keeps the borders of one path and, step by step, removes the one whose two neighbours join
+The fold is for models of the BPE kind, and others are refused when the table is read: there is no Viterbi fold for pieces
+with log probabilities. BPE scores give the order of merges, and the best sum of scores is another segmentation than the
+library's. So the fold keeps the borders of one path and, step by step, removes the one whose two neighbours join
 into the edge with the best score (the leftmost of equals) until no edge joins two neighbours.
 """
 
@@ -35,11 +35,20 @@ def _model(path: str):
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
+def _kind(proto: bytes) -> str:
+    from sentencepiece import sentencepiece_model_pb2
+
+    spec = sentencepiece_model_pb2.ModelProto.FromString(proto).trainer_spec
+    return spec.ModelType.Name(spec.model_type)
+
+
 class PieceTable:
     """What the relations need of a model: (piece, code) rows, byte pieces' first id, and each id's bytes."""
 
     def __init__(self, path: str):
         model = _model(path)
+        if _kind(model.serialized_model_proto()) != "BPE":
+            raise ValueError("the model is not of the BPE kind")
         n = model.get_piece_size()
         plain = [i for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
         order = {s: r for r, s in enumerate(sorted({model.get_score(i) for i in plain}, reverse=True))}

@@ -2,11 +2,12 @@ import hashlib
 import random
 
 import public_tokenizers
+import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
 from taleloom.llm.queries import QUERIES
-from taleloom.llm.sentencepiece_lattice import SPACE, decode, encode
+from taleloom.llm.sentencepiece_lattice import SPACE, PieceTable, decode, encode
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 ODD = ["", " ", "  ", "a  b", " a", "a ", "é", "ﬁ x", "a\nb", "\t", "日本\U0001d518", "a" + SPACE + "b", "<s> </s> <unk>", "<0x41>", "[INST] x", "１２", "\x00a", "a　b", "x" * 47, "y" * 48, "the " * 3000, "thentionable" * 400, " " * 100, "é" * 100]
@@ -40,3 +41,12 @@ def test_queries_encode_documents_and_conversations(spark, tmp_path):
     assert sorted(map(tuple, QUERIES["op8_sentencepiece"](spark, str(tmp_path)).collect())) == want
     turns = QUERIES["sentencepiece_conversations"](spark, str(tmp_path)).drop("turn", "role")
     assert sorted(map(tuple, turns.collect())) == want
+
+
+def test_other_kinds_of_models_are_refused(tmp_path):
+    for kind in ("unigram", "bpe"):
+        texts = ["the nation of the thing", "a thing of the nations", "things then"] * 20
+        sentencepiece.SentencePieceTrainer.train(sentence_iterator=iter(texts), model_prefix=f"{tmp_path}/{kind}", model_type=kind, vocab_size=290, byte_fallback=True, hard_vocab_limit=False, minloglevel=2)
+    assert PieceTable(f"{tmp_path}/bpe.model").rows
+    with pytest.raises(ValueError, match="BPE"):
+        PieceTable(f"{tmp_path}/unigram.model")
