@@ -3,6 +3,7 @@ import gzip
 import hashlib
 import random
 import re
+import time
 import urllib.parse
 import zlib
 
@@ -156,3 +157,48 @@ def test_documents(spark, tmp_path):
     got = op10_secrets(spark, str(tmp_path)).collect()
     want = [(i, brute(t or "").count("assign:"), brute(t or "").count("access:"), brute(t or "").count("hex:"), hashlib.sha256(brute(t or "").encode()).hexdigest()) for i, t in rows]
     assert sorted((tuple(r)[:5] for r in got), key=str) == sorted(want, key=str)
+
+
+def _bare(data):
+    packer = zlib.compressobj(9, zlib.DEFLATED, -15)
+    return packer.compress(data) + packer.flush()
+
+
+@pytest.mark.parametrize(
+    "wrap",
+    [
+        lambda d: zlib.compress(zlib.compress(d)),
+        lambda d: gzip.compress(zlib.compress(d)),
+        lambda d: zlib.compress(gzip.compress(gzip.compress(d))),
+        lambda d: gzip.compress(b"first member") + gzip.compress(d),
+        _bare,
+        lambda d: zlib.compress(_bare(d)),
+        lambda d: zlib.compress(b"much before " * 3_000_000 + gzip.compress(d)),  # far beyond one window
+        lambda d: zlib.compress(b"before " * 2_390_000 + gzip.compress(random.Random(4).randbytes(2 << 20) + d)),  # over a window's end
+    ],
+)
+def test_compressed_in_compressed(wrap):
+    text = f"x {base64.b64encode(wrap(b'password=hunter2xyz')).decode()} y"
+    base, every = secrets.secrets(text)
+    assert ("assign" in [k for *_, k in every]) and not any(k == "assign" for *_, k in base)
+
+
+def test_a_layer_that_unfolds_to_itself_ends():
+    """Data that holds itself: the second time it is met nothing is done."""
+    data = b"password=hunter2xyz"
+    for _ in range(400):
+        data = zlib.compress(data)
+    assert [k for *_, k in secrets.secrets(base64.b64encode(data).decode())[1]] == ["assign"]
+
+
+def test_chains_of_escapes():
+    assert secrets.secrets("token%25253D" + "abc%2564ef9")[1] == [(0, 23, "assign")]
+    assert secrets.secrets("token=\\u005cu0061bcdefg")[1][-1] == (0, 23, "assign")
+    assert secrets.secrets("caf%25C3%25A9 pass%2577ord%253Ahunter2xyz")[1] == [(14, 41, "assign")]
+
+
+@pytest.mark.parametrize("text", ["%" + "25" * 100_000 + "41", "\\" + "u005c" * 50_000 + "u0041", "%41" + "中" * 1_000_000, "%41" + "abcdefgh" * 125_000, "ab12" * 250_000])
+def test_long_texts_take_time_in_proportion(text):
+    began = time.perf_counter()
+    secrets.secrets(text)
+    assert time.perf_counter() - began < 10  # a second on an idle machine
