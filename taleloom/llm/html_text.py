@@ -328,12 +328,12 @@ def page_samples(count: int, seed: int = 1) -> Iterator[str]:
         return "<div>" + "".join(f"<p>B {rng.choice([words(1, 6), words(2, 6) + '.', words(2, 6) + '.', '<a href=#>' + words(2, 5) + '</a>'])}</p>" for _ in range(rng.randint(2, 6))) + "</div>"
 
     def plain() -> str:
-        rows = [f"<h1>K {words(2, 9)}</h1>"] + [rng.choice([f"<p>K {sentences(2, 6)}</p>", f"<p>K {sentences(2, 6)}</p>", f"<p>K {sentences(1, 1)}</p>", f"<p>K {words(1, 5)}</p>", f"<h2>K {words(1, 5)}</h2>", f"<p>K {sentences(1, 1)}</p>"]) for _ in range(rng.randint(4, 14))]
+        rows = [f"<h1>K {words(2, 9)}</h1>"] + [rng.choice([f"<p>K {sentences(2, 6)}</p>", f"<p>K {sentences(2, 6)}</p>", f"<p>K {sentences(1, 1)}</p>", f"<p>K {words(1, 5)}</p>", f"<h2>K {words(1, 5)}</h2>", f"<p>K {sentences(1, 1)}</p>"]) for _ in range(rng.randint(8, 20))]
         return f"<div>{''.join(rows)}</div>"
 
     for _ in range(count):
         if rng.random() < 0.4:
-            yield f"<body>{''.join(group() for _ in range(rng.randint(1, 3)))}{plain()}{''.join(group() for _ in range(rng.randint(1, 3)))}</body>"
+            yield f"<body>{''.join(group() for _ in range(rng.randint(1, 2)))}{plain()}{''.join(group() for _ in range(rng.randint(1, 2)))}</body>"
             continue
         before = [f"<header><h1>B {words(1, 3)}</h1><p>B {words(3, 9)}.</p></header>"] if rng.random() < 0.5 else []
         before += [boiler(False) for _ in range(rng.randint(0, 4))]
