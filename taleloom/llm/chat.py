@@ -73,12 +73,52 @@ def _by_role(role: Column, known: dict[str, str], other: Column) -> Column:
     return out.otherwise(other)
 
 
+#: Turns that are folded into one list before the lists are put together: a list is copied at each step.
+CHUNK = 256
+
+
+def _folded(turns: Column, template: Template) -> Column:
+    """The state machine over turns: struct(state, n, first_bad, out). A step looks up the state that follows, notes the
+    first turn (from 1) that none allows, and emits the turn's segments."""
+    steps = F.create_map(*[F.lit(x) for s, after in template.turns.items() for r in after for x in (f"{s}\n{r}", r)])
+    left, right = template.other_open.split("{role}")
+    known = template.roles
+
+    def segments(t: Column) -> Column:
+        role = t["role"]
+        opened = _by_role(role, {k: r.open for k, r in known.items()}, F.concat(F.lit(left), _escaped(role), F.lit(right)))
+        closed = _by_role(role, {k: r.close for k, r in known.items()}, F.lit(template.other_close))
+        loss = role.isin([k for k, r in known.items() if r.loss])
+        return F.array(
+            F.struct(opened.alias("text"), F.lit(False).alias("loss")),
+            F.struct(_escaped(t["text"]).alias("text"), loss.alias("loss")),
+            F.struct(closed.alias("text"), F.lit(False).alias("loss")),
+        )
+
+    def state(name: Column, n: Column, bad: Column, out: Column) -> Column:
+        return F.struct(name.alias("state"), n.alias("n"), bad.alias("first_bad"), out.alias("out"))
+
+    def step(s: Column, t: Column) -> Column:
+        after, n = F.try_element_at(steps, F.concat(s["state"], F.lit("\n"), t["role"])), s["n"] + 1
+        return state(F.coalesce(after, F.lit("invalid")), n, F.coalesce(s["first_bad"], F.when(after.isNull(), n)), F.concat(s["out"], segments(t)))
+
+    segment = "array<struct<text:string,loss:boolean>>"
+
+    def chunk(s: Column, part: Column) -> Column:
+        inner = F.aggregate(part, state(s["state"], s["n"], s["first_bad"], F.array().cast(segment)), step)
+        # transform over one element names the inner fold, so that it runs once
+        return F.element_at(F.transform(F.array(inner), lambda x: state(x["state"], x["n"], x["first_bad"], F.concat(s["out"], F.array(x["out"])))), 1)
+
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(turns) - 1) / CHUNK)), lambda i: F.slice(turns, (i * CHUNK + 1).cast("int"), CHUNK))
+    return F.aggregate(parts, state(F.lit("start"), F.lit(0).cast("long"), F.lit(None).cast("long"), F.array().cast(f"array<{segment}>")), chunk)
+
+
 def formatted(conversations: DataFrame, template: Template = LLAMA) -> DataFrame:
-    """One row per conversation of (conv_id, turn, role, text): conv_id, valid, formatted, segments.
+    """One row per conversation of (conv_id, turn, role, text): conv_id, valid, first_bad, formatted, segments.
 
     segments is an array of (text, loss) whose texts make up `formatted`; only the texts of the roles that
     count are under the loss, never control strings. valid: whether the turns pass the state machine from
-    its start; every conversation is written, valid or not. Turns go by turn, then role, then text (a null
+    its start; first_bad is the first turn (from 1) that does not, else null; every conversation is written, valid or not. Turns go by turn, then role, then text (a null
     turn first); repeated rows are turns of their own. A null text is empty, a null role the role
     `unknown`; a null conv_id is a conversation. No rows give no rows; other columns are ignored.
     """
@@ -91,28 +131,13 @@ def formatted(conversations: DataFrame, template: Template = LLAMA) -> DataFrame
         ).alias("t"),
     )
     turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-
-    steps = F.create_map(*[F.lit(x) for s, after in template.turns.items() for r in after for x in (f"{s}\n{r}", r)])
-    state = F.aggregate("turns", F.lit("start"), lambda s, t: F.coalesce(F.try_element_at(steps, F.concat(s, F.lit("\n"), t["role"])), F.lit("invalid")))
-
-    def segments(t: Column) -> Column:
-        role, known = t["role"], template.roles
-        left, right = template.other_open.split("{role}")
-        opened = _by_role(role, {k: r.open for k, r in known.items()}, F.concat(F.lit(left), _escaped(role), F.lit(right)))
-        closed = _by_role(role, {k: r.close for k, r in known.items()}, F.lit(template.other_close))
-        loss = role.isin([k for k, r in known.items() if r.loss])
-        return F.array(
-            F.struct(opened.alias("text"), F.lit(False).alias("loss")),
-            F.struct(_escaped(t["text"]).alias("text"), loss.alias("loss")),
-            F.struct(closed.alias("text"), F.lit(False).alias("loss")),
-        )
-
-    out = turns.select("conv_id", (state != "invalid").alias("valid"), F.flatten(F.transform("turns", segments)).alias("segments"))
-    return out.select("conv_id", "valid", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), "segments")
+    out = turns.select("conv_id", _folded(F.col("turns"), template).alias("end"))
+    out = out.select("conv_id", F.col("end.first_bad").isNull().alias("valid"), F.col("end.first_bad").alias("first_bad"), F.flatten("end.out").alias("segments"))
+    return out.select("conv_id", "valid", "first_bad", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), "segments")
 
 
 def read_back(output: DataFrame, template: Template = LLAMA) -> DataFrame:
-    """Of formatted()'s output: conv_id, formatted, turns (an array of (role, text) parsed from `formatted`
+    """Of formatted()'s output: conv_id, valid, first_bad, formatted, turns (an array of (role, text) parsed from `formatted`
     alone) and loss_text (what the segments' flags mark), both unescaped."""
     left, right = template.other_open.split("{role}")
     opens = "|".join([*(re.escape(r.open) for r in template.roles.values()), re.escape(left) + r"[^\[<>]*" + re.escape(right)])
@@ -129,13 +154,5 @@ def read_back(output: DataFrame, template: Template = LLAMA) -> DataFrame:
             role = (F.when if role is None else role.when)(opened == r.open, F.lit(name))
         return F.struct(role.otherwise(other).alias("role"), _unescaped(text).alias("text"))
 
-    # The places of the segments in `formatted`, as the flags give them.
-    marked = F.aggregate(
-        "segments",
-        F.struct(F.lit(1).cast("int").alias("at"), F.array().cast("array<string>").alias("texts")),
-        lambda s, x: F.struct(
-            (s["at"] + F.length(x["text"])).alias("at"),
-            F.when(x["loss"], F.concat(s["texts"], F.array(F.col("formatted").substr(s["at"], F.length(x["text"]))))).otherwise(s["texts"]).alias("texts"),
-        ),
-    )["texts"]
-    return output.select("conv_id", "formatted", F.zip_with(group(1), group(2), turn).alias("turns"), F.array_join(F.transform(marked, _unescaped), "").alias("loss_text"))
+    marked = F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: _unescaped(s["text"]))
+    return output.select("conv_id", "valid", "first_bad", "formatted", F.zip_with(group(1), group(2), turn).alias("turns"), F.array_join(marked, "").alias("loss_text"))

@@ -85,6 +85,8 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("loss_text").cast("long").alias("loss_chars"),
         F.sha2("loss_text", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        "valid",
+        F.coalesce("first_bad", F.lit(0)).alias("first_bad"),
     )
 
 
@@ -128,12 +130,14 @@ ORACLES: dict[str, str] = {
              t AS (SELECT *, length(text) + length(regexp_replace(text, '[^~\[<>]', '', 'g'))
                              + CASE role WHEN 'system' THEN 17 WHEN 'user' THEN 15 WHEN 'assistant' THEN 14
                                          ELSE 16 + length(role) + length(regexp_replace(role, '[^~\[<>]', '', 'g')) END AS written FROM c),
+             o AS (SELECT *, row_number() OVER w AS nth, lag(role, 1, 'start') OVER w || ' ' || role AS step FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
              g AS (SELECT conv_id, count(*) AS n_turns,
+                          min(nth) FILTER (step NOT IN ('start system', 'start user', 'system user', 'user assistant', 'assistant user')) AS first_bad,
                           string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
                           coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS loss,
-                          sum(written) AS written FROM t GROUP BY conv_id)
+                          sum(written) AS written FROM o GROUP BY conv_id)
         SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
-               CAST(written AS BIGINT) AS formatted_chars FROM g""",
+               CAST(written AS BIGINT) AS formatted_chars, first_bad IS NULL AS valid, coalesce(first_bad, 0) AS first_bad FROM g""",
     "op3_exact_dedup": r"""
         WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents),
              k AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY norm)
