@@ -43,7 +43,7 @@ def test_links_survive_every_way_of_blocking(spark, monkeypatch, block):
             x ^= 1 << int(b)
         found.append(np.uint64(x))
     fps = np.unique(np.array(found, dtype=np.uint64))
-    nodes = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    nodes = simhash.tabled(spark.createDataFrame([(int(x), 0) for x in fps.view(np.int64)], "fp long, least long"))
     links = simhash.blocks(nodes).repartition("key").sortWithinPartitions("key").mapInArrow(simhash._links, "u long, v long")
     label = {r.node: r.component for r in connected_components(links).collect()}
     got = [label.get(int(x), int(x)) for x in fps.view(np.int64)]
@@ -68,3 +68,8 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 400), (400, 400)], "u long, v long")
     got = {r.node: r.component for r in connected_components(edges).collect()}
     assert got == {i: 0 for i in range(201)} | {500: 400, 400: 400}
+
+
+def test_references_are_far_apart():
+    near = np.bitwise_count(simhash.REFERENCES[:, None] ^ simhash.REFERENCES[None, :])
+    assert near[np.triu_indices(len(near), 1)].min() >= 28
