@@ -27,8 +27,10 @@ _RUN = re.compile(r"\s ")
 @functools.lru_cache(maxsize=2)
 def _encoding(path: str):
     """The vocabulary of a tokenizers file, run by tiktoken, which is quicker on single words. In a byte-level
-    vocabulary whose ids count the merges the ids are the ranks. Special strings in a text are ordinary text."""
+    vocabulary whose ids count the merges the ids are the ranks. With it a pattern of the file's special strings (or None) and
+    the file's own tokenizer, which takes the texts that hold one."""
     import tiktoken
+    import tokenizers
 
     with open(path, encoding="utf-8") as f:
         model = json.load(f)
@@ -36,20 +38,24 @@ def _encoding(path: str):
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     octet = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(printable))}
     ranks = {bytes(octet[c] for c in word): rank for word, rank in model["model"]["vocab"].items() if word not in special}
-    return tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    fast = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return fast, re.compile("|".join(map(re.escape, sorted(special)))) if special else None, tokenizers.Tokenizer.from_file(path)
 
 
 class TextEncoder:
     """ids(text): little-endian 32-bit ids, as bytes."""
 
     def __init__(self, path: str):
-        self.encode = _encoding(path).encode_ordinary
+        fast, self.special, self.own = _encoding(path)
+        self.encode = fast.encode_ordinary
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
         if not text:
             return b""
+        if self.special and self.special.search(text):
+            return array("I", self.own.encode(text, add_special_tokens=False).ids).tobytes()
         if _RUN.search(text):
             parts = _JOINT.split(text)
         else:
