@@ -1,10 +1,10 @@
 """Approximate nearest neighbours by a permutation index.
 
 Vectors are first made equally long by one more component, so that the largest inner product is the nearest direction.
-A vector is represented by its nearest pivots, in order. It is posted, with its rank for them, in the inverted
-files of those pivots. A query reads the files of its own nearest pivots and adds up, for each vector met, how far
-the two orders agree: that ranks vectors by footrule distance (a pivot beyond the prefix counts as next after
-it). The nearest by footrule are reranked by the true inner product.
+A vector is represented by its nearest pivots, in order. It is posted in the inverted files of those pivots, one
+file for each level of rank that it reaches. A query reads the files of its own nearest pivots and levels and adds up, for
+each vector met, how many both are in: that ranks vectors by footrule distance of the ranks in levels (a pivot beyond the
+prefix counts as next after it). Files are the columns of a matrix, so that reading them is a product. The nearest by footrule are reranked by the true inner product.
 
 Vectors are dealt out in blocks of about BLOCK rows; a block holds its own inverted files, and each chunk of the query
 set visits every block. A block returns each query's best; those fold in rounds of FAN blocks, so no task holds more
@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 from taleloom.llm.common import materialise
 
-#: Rows that the pivots are chosen from, the number of pivots, and how many of them represent a vector.
-SAMPLE, PIVOTS, PREFIX = 4096, 256, 64
+#: Rows that the pivots are chosen from, the number of pivots, how many of them represent a vector, and in how many levels
+#: their ranks are posted.
+SAMPLE, PIVOTS, PREFIX, LEVELS = 4096, 512, 256, 4
 #: Share of a block that is reranked, and the least number: in small blocks the order by footrule is coarser.
 RERANKED, RERANKED_ROWS = 0.125, 256
 #: Vectors so many times as long as 99 of 100 are reranked for every query: beside their length others' differences are lost.
@@ -59,25 +60,22 @@ def choose_pivots(sample: np.ndarray, count: int = PIVOTS) -> np.ndarray:
     return rows[chosen]
 
 
-def weights(vectors: np.ndarray, pivots: np.ndarray, prefix: int = PREFIX) -> np.ndarray:
-    """A row for each vector, a column for each pivot: prefix - rank for the nearest pivots, 0 for the others."""
+def weights(vectors: np.ndarray, pivots: np.ndarray, prefix: int = PREFIX, levels: int = LEVELS) -> np.ndarray:
+    """A row for each vector, a column for each level and pivot: 1 where the pivot's rank among the vector's nearest reaches
+    the level (the lowest holds all of the prefix, the next ones ever nearer pivots)."""
     near = vectors @ pivots.T
     prefix = min(prefix, len(pivots))
     order = np.argsort(-near, axis=1, kind="stable")[:, :prefix]
-    out = np.zeros(near.shape, dtype=np.uint8 if prefix < 256 else np.uint16)
-    np.put_along_axis(out, order, np.arange(prefix, 0, -1, dtype=out.dtype)[None, :], axis=1)
-    return out
+    weight = np.zeros(near.shape, dtype=np.int32)
+    np.put_along_axis(weight, order, np.arange(prefix, 0, -1, dtype=np.int32)[None, :], axis=1)
+    step = -(-prefix // levels)
+    return np.concatenate([weight > step * level for level in range(levels)], axis=1).astype(np.float32)
 
 
 def agreement(queries: np.ndarray, posted: np.ndarray) -> np.ndarray:
-    """For each query and vector the sum, over pivots in both prefixes, of the lesser weight. Prefixes
+    """For each query and vector the number of files that both are in: the sum, over pivots, of the lesser level. Prefixes
     are equally long, so the footrule distance is a constant less twice that: more is nearer."""
-    total = np.zeros((len(queries), len(posted)), dtype=np.uint16 if queries.shape[1] * int(queries.max(initial=0)) < 65536 else np.uint32)
-    for p in range(posted.shape[1]):  # the inverted file of pivot p
-        mine, file = np.flatnonzero(queries[:, p]), np.flatnonzero(posted[:, p])
-        if len(mine) and len(file):
-            total[np.ix_(mine, file)] += np.minimum(queries[mine, p][:, None], posted[file, p][None, :])
-    return total
+    return queries @ posted.T  # whole numbers, below what a float holds
 
 
 def _cell(pivots: np.ndarray, top_length: float, k: int, share: float):
@@ -85,16 +83,12 @@ def _cell(pivots: np.ndarray, top_length: float, k: int, share: float):
         out = []
         if len(block) and len(queries):
             ids, x, q = block["vec_id"].to_numpy(), np.stack(block["embedding"]), np.stack(queries["asked"])
-            one = np.unique(np.column_stack([ids.view(np.float64), x]), axis=0, return_index=True)[1]  # repeated rows count once
-            one = one[np.argsort(ids[one], kind="stable")]
-            ids, x = ids[one], x[one]
-            query_ids = queries["query_id"].to_numpy()
             # Copies of a vector have one score, so their least ids go first: they are searched as one vector.
             x, place = np.unique(x, axis=0, return_inverse=True)
-            by_vector = np.argsort(place.ravel(), kind="stable")  # the ids of one vector in a row, ascending
-            ids, first = ids[by_vector], np.searchsorted(place.ravel()[by_vector], np.arange(len(x) + 1))
+            pairs = np.unique(np.column_stack([place.ravel(), ids]), axis=0)  # repeated rows count once
+            vector, ids = pairs[:, 0], pairs[:, 1]
+            query_ids, first = queries["query_id"].to_numpy(), np.searchsorted(vector, np.arange(len(x) + 1))
             copies = [np.arange(a, min(b, a + k + 1)) for a, b in zip(first[:-1], first[1:], strict=True)]  # one may be the query's own
-            vector = np.repeat(np.arange(len(x)), np.diff(first))
             count = min(len(x), max(RERANKED_ROWS, k, int(np.ceil(share * len(ids)))))
             level, longer = levelled(x, top_length)
             posted, asked = weights(level, pivots), weights(np.column_stack([q, np.zeros(len(q))]), pivots)

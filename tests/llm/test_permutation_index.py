@@ -24,7 +24,7 @@ def test_agreement_orders_by_footrule():
     near = np.argsort(-(x @ pivots.T), axis=1, kind="stable")
     rank = np.minimum(np.argsort(near, axis=1), 7)
     footrule = np.abs(rank[:5, None, :] - rank[None, :, :]).sum(axis=2)
-    w = index.weights(x, pivots, 7)
+    w = index.weights(x, pivots, 7, 7)
     assert (footrule == 7 * 8 - 2 * index.agreement(w[:5], w).astype(int)).all()
 
 
@@ -65,6 +65,28 @@ def test_recall(spark):
     assert hits / (20 * 300) >= 0.95
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_on_the_tables(spark, sf):
+    table = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in index.usable(table).collect()]
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    got = {}
+    for r in index.search(table, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    recall = []
+    for at in np.flatnonzero(ids % 20 == 0):
+        s = (x * x[at]).sum(axis=1)
+        s[ids == ids[at]] = -np.inf
+        recall.append(len(got[ids[at]] & set(ids[np.lexsort((ids, -s))[:20]].tolist())) / 20)
+    assert np.mean(recall) >= 0.95 and np.mean(np.sort(recall)[: max(1, len(recall) // 10)]) >= 0.9
+
+
+def test_ids_of_any_size(spark):
+    rows = [(i, [1.0, float(n)]) for n, i in enumerate([0, -(2**63), 2**63 - 1, -1, 9_221_120_237_041_090_560])]
+    got = index.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(i, 1.0) for i in sorted(i for i, _ in rows if i)]  # ties go by id
+
+
 def test_many_copies(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(4000, 16))
