@@ -7,11 +7,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from taleloom.operators.components import connected_components
+from taleloom.operators.ordering import numbered
 from taleloom.sources.shared import written
 
 #: Nodes up to which paths are walked for betweenness; above, it is the degree centrality. The cutoff is part of the result.
 BETWEENNESS_NODES = 100
-MAX_ROUNDS = 40
 
 
 def build(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -114,31 +115,13 @@ def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, community): connected components, named community_0, community_1, ... by their first node's ord.
-
-    Labels (a node's ord) spread as minima along edges and jump to their label's label, so rounds grow with the logarithm
-    of the longest path; each round is written to the shared folder.
-    """
+    A node without an edge is a component of its own."""
     ids = nodes.select("id", "ord")
-    by_ord = ids.select(F.col("id").alias("u"), F.col("ord").alias("uo"))
-    links = both_ways(edges).join(by_ord, "u").join(ids.select(F.col("id").alias("v"), F.col("ord").alias("vo")), "v").select("uo", "vo").distinct()
-    links = written(links)
-    labels = written(ids.select("ord", F.col("ord").alias("label")))
-    for _ in range(MAX_ROUNDS):
-        label_of = labels.select(F.col("ord").alias("vo"), F.col("label").alias("theirs"))
-        least = links.join(label_of, "vo").groupBy(F.col("uo").alias("ord")).agg(F.min("theirs").alias("theirs"))
-        hook = labels.join(least, "ord", "left").select("ord", F.col("label").alias("old"), F.least("label", F.coalesce("theirs", "label")).alias("near"))
-        # a label that met a smaller one takes it along for all that bear it
-        roots = hook.groupBy(F.col("old").alias("root")).agg(F.min("near").alias("up"))
-        now = hook.join(roots, F.col("old") == F.col("root")).select("ord", "old", F.least("near", "up").alias("label"))
-        now = written(now)
-        if now.filter("label <> old").isEmpty():
-            break
-        labels = now.select("ord", "label")
-    else:
-        raise RuntimeError("the components did not settle")
-    tops = labels.select("label").distinct().select("label", (F.row_number().over(W.orderBy("label")) - 1).alias("i"))
-    named = ids.join(labels, "ord").join(tops, "label")
-    return named.select("id", F.concat(F.lit("community_"), F.col("i").cast("string")).alias("community"))
+    ends = edges.select("a", "b").join(ids.select(F.col("id").alias("a"), F.col("ord").alias("u")), "a").join(ids.select(F.col("id").alias("b"), F.col("ord").alias("v")), "b")
+    least = connected_components(ends.select("u", "v")).select(F.col("node").alias("ord"), "component")
+    labelled = written(ids.join(least, "ord", "left").select("id", F.coalesce("component", "ord").alias("label")))
+    tops = numbered(labelled.select("label").distinct(), ["label"], "i")
+    return labelled.join(tops, "label").select("id", F.concat(F.lit("community_"), (F.col("i") - 1).cast("string")).alias("community"))
 
 
 def frequent(nodes: DataFrame, edges: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:

@@ -1,4 +1,4 @@
-"""Folder trees: recursion from the roots down, carrying what children inherit."""
+"""Folder trees: from each folder up to its root, with what it inherits on the way."""
 
 from __future__ import annotations
 
@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taleloom.functions.titles import parsed
-
-MAX_DEPTH = 100
+from taleloom.operators.trees import ascended
+from taleloom.sources.shared import written
 
 
 def typed(folders: DataFrame) -> DataFrame:
@@ -19,22 +19,16 @@ def typed(folders: DataFrame) -> DataFrame:
 def walk(folders: DataFrame) -> DataFrame:
     """Of typed folders: id, depth, path, parent color and the nearest kind and subtype above. Roots have no
     parent or one that is missing; members of a parent cycle have no root and vanish."""
-    rows = folders.select("id", "name", "parent_id", "color", "entity_kind", "entity_subtype")
-    parents = rows.select(F.col("id").alias("known"))
-    roots = rows.join(parents, rows["parent_id"] == parents["known"], "left_anti")
-    return rows.sparkSession.sql(
-        f"""
-        WITH RECURSIVE tree(id, depth, path, color, own_kind, own_subtype, inherited_kind, inherited_subtype, parent_color) MAX RECURSION LEVEL {MAX_DEPTH} AS (
-            SELECT id, 0, id, color, entity_kind, entity_subtype, CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING) FROM {{roots}}
-            UNION ALL
-            SELECT f.id, t.depth + 1, concat(t.path, '/', f.id), f.color, f.entity_kind, f.entity_subtype,
-                   coalesce(t.own_kind, t.inherited_kind), coalesce(t.own_subtype, t.inherited_subtype), t.color
-            FROM tree t JOIN {{rows}} f ON f.parent_id = t.id
-        )
-        SELECT * FROM tree""",
-        roots=roots,
-        rows=rows,
+    rows = folders.select("id", "parent_id", "color", F.col("entity_kind").alias("own_kind"), F.col("entity_subtype").alias("own_subtype"))
+    parents = rows.select(F.col("id").alias("up"), F.col("color").alias("parent_color"), F.col("own_kind").alias("inherited_kind"), F.col("own_subtype").alias("inherited_subtype"))
+    links = written(rows.join(parents, F.col("parent_id") == F.col("up"), "left").withColumn("depth", F.when(F.col("up").isNull(), 0).otherwise(1)))
+    nearest = lambda mine, theirs: F.coalesce(mine, theirs)
+    up = ascended(
+        links.withColumn("path", F.col("id")),
+        {"depth": lambda mine, theirs: mine + theirs, "path": lambda mine, theirs: F.concat(theirs, F.lit("/"), mine), "inherited_kind": nearest, "inherited_subtype": nearest},
     )
+    own = links.select("id", "color", "own_kind", "own_subtype", "parent_color")
+    return own.join(up, "id").select("id", "depth", "path", "color", "own_kind", "own_subtype", "inherited_kind", "inherited_subtype", "parent_color")
 
 
 def inherited(folders: DataFrame) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from taleloom.functions.timeparse import comparable
-from taleloom.sources.shared import written
+from taleloom.operators.ordering import numbered
+from taleloom.operators.trees import ascended
 
 # Importance, highest first.
 IMPORTANCE = ("critical", "major", "minor", "background")
@@ -40,14 +41,7 @@ def ordered(rows: DataFrame, mode: str = "chronological") -> DataFrame:
         "reverse": [F.desc("time"), F.asc("ord")],
         "importance": [rank(F.col("importance")), "time", "ord"],
     }[mode]
-    within = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    # Ranges are sorted apart. A row's place is its place in its range and the sizes of the ranges before; rows of one
-    # range number from `first`, a row per range.
-    part = F.spark_partition_id()
-    numbered = written(within.withColumn("__p", part).withColumn("__i", F.monotonically_increasing_id() - F.shiftleft(part.cast("long"), 33)))
-    sizes = numbered.groupBy("__p").agg(F.count("*").alias("__n"))
-    before = sizes.select("__p", (F.sum("__n").over(W.orderBy("__p")) - F.col("__n")).alias("__before"))
-    return numbered.join(F.broadcast(before), "__p").withColumn("position", F.col("__before") + F.col("__i") + 1).drop("__p", "__i", "__before")
+    return numbered(rows, keys)
 
 
 def of_importance(events: DataFrame, chosen: list[str] | None) -> DataFrame:
@@ -81,23 +75,13 @@ def nested(scenes: DataFrame, events: DataFrame) -> DataFrame:
     return own.unionByName(by_parent.join(free, "scene_id", "left_semi").select("scene_id", "event_id"))
 
 
-def event_tree(events: DataFrame, chosen: list[str] | None = None, levels: int = 50) -> DataFrame:
-    """(id, depth, root): events under their parents, the importance filter at each nested level: what is left out hides what is
-    below. Children of a missing parent, and rings, don't show."""
+def event_tree(events: DataFrame, chosen: list[str] | None = None) -> DataFrame:
+    """(id, depth, root): events under their parents, to any depth, the importance filter at each nested level: what is left out
+    hides what is below. Children of a missing parent, and rings, don't show."""
     rows = events.select("id", "parent_id", "importance")
-    start = rows.filter("parent_id is null")
-    below = of_importance(rows.filter("parent_id is not null"), chosen)
-    return rows.sparkSession.sql(
-        f"""
-        WITH RECURSIVE tree(id, depth, root) MAX RECURSION LEVEL {levels} AS (
-            SELECT id, 0, id FROM {{start}}
-            UNION ALL
-            SELECT e.id, t.depth + 1, t.root FROM tree t JOIN {{below}} e ON e.parent_id = t.id
-        )
-        SELECT * FROM tree""",
-        start=start,
-        below=below,
-    )
+    shown = rows.filter("parent_id is null").unionByName(of_importance(rows.filter("parent_id is not null"), chosen))
+    links = shown.select("id", F.col("parent_id").alias("up"), F.when(F.col("parent_id").isNull(), 0).otherwise(1).alias("depth"), F.col("id").alias("root"))
+    return ascended(links, {"depth": lambda mine, theirs: mine + theirs, "root": lambda mine, theirs: theirs})
 
 
 def labelled(people: DataFrame, entities: DataFrame) -> DataFrame:

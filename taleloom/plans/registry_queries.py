@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
-
 from pyspark.sql import functions as F
 
 from taleloom.functions.constants import COLORS, KINDS, RELATIONSHIP_TYPES
@@ -16,7 +13,7 @@ from taleloom.plans import sql
 from taleloom.plans.markup import _ENTITIES
 from taleloom.plans.registry import query, table
 from taleloom.sources import corpus, vault
-from taleloom.sources.shared import spread
+from taleloom.sources.shared import new_path, spread, written
 
 c = F.col
 _TYPES = "types AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', 'title', 'rectangle', '{COLORS[k]}')" for k in KINDS) + ") t(kind, label_prop, shape, color))"
@@ -157,29 +154,20 @@ _STORE_SQL = "SELECT 'current' AS slot, o_orderkey FROM orders WHERE o_orderstat
 
 @query("s01_s02_s04_s08_snapshots", _STORE_SQL)
 def s04(spark, d):
-    from taleloom.sources.shared import written
-
-    root = tempfile.mkdtemp(prefix="taleloom-store-") if spark.sparkContext.master.startswith("local[") else f"{spark.conf.get('spark.checkpoint.dir')}/store"
-    store = vault.SnapshotStore(spark, f"file://{root}" if root.startswith("/") else root)
+    store = vault.SnapshotStore(spark, new_path(spark, "store"))
     orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
     store.save({"orders": orders})
     store.save({"orders": orders.filter("o_orderstatus <> 'P'")})
     first = store.load("orders", orders.schema).select(F.lit("current").alias("slot"), "o_orderkey")
     second = store.load_backup("orders", orders.schema).select(F.lit("backup").alias("slot"), "o_orderkey")
     store.restore()
-    out = written(first.unionByName(second).unionByName(store.load("orders", orders.schema).select(F.lit("restored").alias("slot"), "o_orderkey")))
-    if root.startswith("/"):
-        shutil.rmtree(root, ignore_errors=True)
-    return out
+    return first.unionByName(second).unionByName(store.load("orders", orders.schema).select(F.lit("restored").alias("slot"), "o_orderkey"))
 
 
 @query("s07_registry", sql.with_(_TYPES + "," + _RELS, "SELECT kind AS name FROM types UNION ALL SELECT 'OWN' UNION ALL SELECT label FROM rels"))
 def s07(spark, d):
     """Saved entity types come back; relationship types, which were not saved, are the defaults."""
-    from taleloom.sources.shared import written
-
-    root = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp(prefix='taleloom-registry-')}/registry-{next(_runs)}-{spark.sparkContext.applicationId}"
-    store = vault.SnapshotStore(spark, root)
+    store = vault.SnapshotStore(spark, new_path(spark, "registry"))
     own = spark.createDataFrame([("OWN", "title", "rectangle", "#000000")], "kind string, label_prop string, shape string, color string")
     rg.save_registry(store, {"entity_types": rg.registered(rg.entity_types(spark), own, "kind")})
     found = rg.load_registry(store, spark)
@@ -251,23 +239,12 @@ def m04(spark, d):
 @query("w01_change_stream", "SELECT user_id, arg_max(event_id, epoch_us(ts)) AS event_id, max(epoch_us(ts)) AS version FROM events GROUP BY user_id")
 def w01(spark, d):
     """All changes as a stream of small files, until it is empty; the result is the table that it leaves."""
-    from taleloom.sources.shared import written
     from taleloom.streaming.notes import changes, upsert
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='taleloom-stream-')}"
-    work = f"{base.rstrip('/')}/stream-{spark.sparkContext.applicationId}-{abs(hash(d))}-{next(_runs)}"
+    work = new_path(spark, "stream")
     rows = table(spark, d, "events").select("user_id", "event_id", F.unix_micros(c("ts").cast("timestamp")).alias("version"))
     rows.repartition(6, "event_id").write.parquet(f"{work}/in")
     store = vault.SnapshotStore(spark, f"{work}/store")
     upsert(changes(spark, f"{work}/in", rows.schema, 2), store, "last", "user_id", "version", f"{work}/checkpoint", {"availableNow": True}).awaitTermination()
     return written(store.load("last", rows.schema))
 
-
-def _count():
-    n = 0
-    while True:
-        n += 1
-        yield n
-
-
-_runs = _count()

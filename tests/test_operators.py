@@ -127,6 +127,34 @@ def test_components_of_a_long_path(spark):
     assert {r.community for r in graph.components(nodes, edges).collect()} == {"community_0"}
 
 
+def test_components_of_an_ordered_path_and_many_lone_nodes(spark):
+    n = 1000
+    nodes = spark.range(n + 500).select(F.col("id").cast("string").alias("id"), F.col("id").alias("ord"), F.lit(1).cast("long").alias("frequency"))
+    edges = spark.range(n - 1).select(F.col("id").cast("string").alias("a"), (F.col("id") + 1).cast("string").alias("b"), F.lit(1).alias("weight"), F.col("id").alias("ord"))
+    got = {int(r.id): r.community for r in graph.components(nodes, edges).collect()}
+    assert got == {i: "community_0" if i < n else f"community_{i - n + 1}" for i in range(n + 500)}
+
+
+def test_deep_folders(spark):
+    n = 1000
+    rows = [(f"f{i}", "[LOCATION:CITY|x]" if i == 3 else f"n{i}", f"f{i - 1}" if i else None, "#111111" if i == 5 else None) for i in range(n)]
+    rows += [("lost", "[FACTION]", "nowhere", None), ("below", "b", "lost", None), ("r1", "ring", "r2", None), ("r2", "ring", "r1", None), ("r3", "under a ring", "r1", None)]
+    tree = {r.id: r for r in hierarchy.walk(hierarchy.typed(spark.createDataFrame(rows, "id string, name string, parent_id string, color string"))).collect()}
+    assert set(tree) == {r[0] for r in rows} - {"r1", "r2", "r3"}
+    assert [tree[f"f{i}"].depth for i in range(n)] == list(range(n)) and tree["f999"].path == "/".join(f"f{i}" for i in range(n))
+    assert tree["f3"].inherited_kind is None and tree["f999"].inherited_kind == "LOCATION" and tree["f999"].inherited_subtype == "CITY"
+    assert tree["f6"].parent_color == "#111111" and tree["f7"].parent_color is None
+    assert (tree["lost"].depth, tree["below"].depth, tree["below"].inherited_kind) == (0, 1, "FACTION")
+
+
+def test_event_tree_of_many_roots_and_levels(spark):
+    many = spark.range(2_000_000).select(F.concat(F.lit("e"), "id").alias("id"), F.lit(None).cast("string").alias("parent_id"), F.lit("minor").alias("importance"))
+    deep = spark.range(300).select(F.concat(F.lit("d"), "id").alias("id"), F.when(F.col("id") == 0, F.lit("e7")).otherwise(F.concat(F.lit("d"), (F.col("id") - 1).cast("string"))).alias("parent_id"), F.when(F.col("id") == 200, F.lit("major")).otherwise(F.lit("minor")).alias("importance"))
+    tree = timeline.event_tree(many.unionByName(deep), ["minor"])
+    assert tree.filter("depth = 0").count() == 2_000_000
+    assert sorted((r.depth, r.id, r.root) for r in tree.filter("depth > 0").collect()) == [(i + 1, f"d{i}", "e7") for i in range(200)]
+
+
 @pytest.mark.parametrize(("text", "want"), [
     ("Act 2", ("sequential", 200, 1.0)),
     ("Chapter 1", ("sequential", 10000, 1.0)),
