@@ -1,40 +1,5 @@
-"""Connected components of an edge table, by alternating star contractions."""
+"""Connected components of an edge table: those of the library, under the corpus operators' name."""
 
-from __future__ import annotations
+from taleloom.operators.components import connected_components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from taleloom.llm.common import materialise
-
-#: Rounds after which something must be wrong: they halve paths, so 40 serve 2**40 nodes.
-MAX_ROUNDS = 40
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    linked = edges.join(least, "u")
-    return linked.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
-    """Of edges(u, v) of longs: (node, component), component being the smallest node reachable.
-    Nodes without an edge to another don't show. Each round is written to the shared folder; minima fold
-    before they are shuffled, and joins on a hub are ones whose skewed partitions Spark splits."""
-    edges = materialise(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "links")
-    state = None
-    for _ in range(MAX_ROUNDS):
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if now[0] == 0 or now == state:
-            break
-        state = now
-        edges = materialise(_small_star(_large_star(edges).distinct()), "links")
-    else:
-        raise RuntimeError("the components did not settle")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+__all__ = ["connected_components"]
