@@ -5,10 +5,11 @@ over such a border (checked when the table is read), so words are encoded on the
 substrings of bounded length, joined to the table, are the edges of its lattice; grouped by word, they are folded with a
 higher-order aggregate.
 
-The fold is for models of the BPE kind, and others are refused when the table is read: there is no Viterbi fold for pieces
-with log probabilities. BPE scores give the order of merges, and the best sum of scores is another segmentation than the
-library's. So the fold keeps the borders of one path and, step by step, removes the one whose two neighbours join
-into the edge with the best score (the leftmost of equals) until no edge joins two neighbours.
+The fold follows the model's kind, and kinds other than these two are refused when the table is read. For unigram models, whose
+pieces have log probabilities, it is Viterbi's: position by position, the best way to it. BPE scores give the order of merges
+instead, and the best sum of scores is another segmentation than the library's; so there the fold keeps the borders of one
+path and, step by step, removes the one whose two neighbours join into the edge with the best score (the leftmost of
+equals) until no edge joins two neighbours.
 """
 
 from __future__ import annotations
@@ -35,31 +36,42 @@ def _model(path: str):
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
-def _kind(proto: bytes) -> str:
+def _proto(model):
     from sentencepiece import sentencepiece_model_pb2
 
-    spec = sentencepiece_model_pb2.ModelProto.FromString(proto).trainer_spec
-    return spec.ModelType.Name(spec.model_type)
+    return sentencepiece_model_pb2.ModelProto.FromString(model.serialized_model_proto())
 
 
 class PieceTable:
-    """What the relations need of a model: (piece, code) rows, byte pieces' first id, and each id's bytes."""
+    """What the relations need of a model: (piece, code) rows, byte pieces' first id, and each id's bytes. A code is a rank
+    (BPE: of the score; unigram: 0) and an id."""
 
     def __init__(self, path: str):
         model = _model(path)
-        if _kind(model.serialized_model_proto()) != "BPE":
-            raise ValueError("the model is not of the BPE kind")
+        proto = _proto(model)
+        self.kind = proto.trainer_spec.ModelType.Name(proto.trainer_spec.model_type)
+        if self.kind not in ("BPE", "UNIGRAM"):
+            raise ValueError("the model is neither of the BPE nor of the unigram kind")
+        rules = proto.normalizer_spec
+        if rules.precompiled_charsmap or rules.remove_extra_whitespaces or not rules.add_dummy_prefix or not rules.escape_whitespaces:
+            raise ValueError("the model rewrites texts before it cuts them")
         n = model.get_piece_size()
         plain = [i for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
+        if any(proto.pieces[i].type == proto.pieces[i].USER_DEFINED for i in plain):
+            raise ValueError("the model has pieces that come before all others")
         order = {s: r for r, s in enumerate(sorted({model.get_score(i) for i in plain}, reverse=True))}
-        self.path, self.rows = path, [(model.id_to_piece(i), order[model.get_score(i)] * _RANKS + i) for i in plain]
+        rank = {i: order[model.get_score(i)] if self.kind == "BPE" else 0 for i in plain}
+        self.path, self.rows = path, [(model.id_to_piece(i), rank[i] * _RANKS + i) for i in plain]
+        self.scores = [model.get_score(i) for i in range(n)]
+        #: Fixed value: an unknown character costs 10 more than the worst piece.
+        self.unknown = min(model.get_score(i) for i in plain) - 10
         self.longest = max(len(p) for p, _ in self.rows)
         if any(SPACE in p.lstrip(SPACE) for p, _ in self.rows):
             raise ValueError("a piece reaches over a word border")
         octets = {int(model.id_to_piece(i)[3:5], 16): i for i in range(n) if model.is_byte(i)}
+        if not octets or octets != {b: octets[0] + b for b in range(256)}:
+            raise ValueError("there are no byte pieces, or their ids are not in a row")
         self.first_byte = octets[0]
-        if octets != {b: self.first_byte + b for b in range(256)}:
-            raise ValueError("the byte pieces' ids are not in a row")
         self.hex = ["" for _ in range(n)]
         for i in plain:
             self.hex[i] = model.id_to_piece(i).replace(SPACE, " ").encode().hex()
@@ -76,8 +88,47 @@ def words(text: Column) -> Column:
     return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.regexp_extract_all(marked, F.lit(f"{SPACE}+[^{SPACE}]*"), F.lit(0)))
 
 
-def _folded(word: Column, edges: Column, first_byte: int) -> Column:
-    """The ids of a word from its edges: a map from start * 64 + length to code."""
+def _spelt(word: Column, start: Column, size: Column, first_byte: int) -> Column:
+    """The byte pieces of a part of a word."""
+    octets = F.hex(F.encode(F.substr(word, start + 1, size), "UTF-8"))
+    return F.transform(F.sequence(F.lit(1), F.length(octets), F.lit(2)), lambda k: F.conv(F.substr(octets, k, F.lit(2)), 16, 10).cast("int") + first_byte)
+
+
+def _viterbi(word: Column, edges: Column, table: PieceTable) -> Column:
+    """The ids of a word from its edges (a map from start * 64 + length to code) by the greatest sum of scores; of equal ones, the
+    one whose last piece starts first. Sums are single floats, as the library's are. A character that is no piece is an edge
+    of its own, spelt in bytes."""
+    scores = F.split(F.lit(",".join(map(repr, table.scores))), ",")  # a constant: Spark folds it into one array
+    first = F.struct(F.array(F.lit(0.0).cast("float")).alias("best"), F.array().cast("array<struct<start:int,id:int>>").alias("last"))
+
+    def step(state: Column, end: Column) -> Column:
+        def way(start: Column) -> Column:
+            code = F.try_element_at(edges, (start * 64 + (end - start)).cast("int"))
+            score = F.when(code.isNotNull(), F.element_at(scores, (code + 1).cast("int")).cast("float")).when(start == end - 1, F.lit(table.unknown).cast("float"))
+            return F.struct((-(F.get(state["best"], start) + score)).alias("cost"), start.cast("int").alias("start"), F.coalesce(code, F.lit(-1)).cast("int").alias("id"))
+
+        ways = F.filter(F.transform(F.sequence(F.greatest(F.lit(0), end - table.longest), end - 1), way), lambda w: w["cost"].isNotNull())
+
+        def best(w: Column) -> Column:
+            return F.struct(F.concat(state["best"], F.array(-w["cost"])).alias("best"), F.concat(state["last"], F.array(F.struct(w["start"].alias("start"), w["id"].alias("id")))).alias("last"))
+
+        # transform over one element names the best way, so that it is found once
+        return F.element_at(F.transform(F.array(F.array_min(ways)), best), 1)
+
+    def back(last: Column) -> Column:
+        def take(state: Column, end: Column) -> Column:
+            x = F.element_at(last, end.cast("int"))
+            ids = F.when(x["id"] >= 0, F.array(x["id"])).otherwise(_spelt(word, x["start"], end - x["start"], table.first_byte))
+            return F.when(end == state["at"], F.struct(x["start"].alias("at"), F.concat(ids, state["ids"]).alias("ids"))).otherwise(state)
+
+        return F.aggregate(F.sequence(F.size(last), F.lit(1)), F.struct(F.size(last).alias("at"), F.array().cast("array<int>").alias("ids")), take)["ids"]
+
+    ways = F.aggregate(F.sequence(F.lit(1), F.length(word)), first, step)["last"]
+    return F.element_at(F.transform(F.array(ways), back), 1)
+
+
+def _merged(word: Column, edges: Column, first_byte: int) -> Column:
+    """The ids of a word from its edges (a map from start * 64 + length to code) by merges in the order of their ranks."""
     none = F.lit(1 << 62)
 
     def code(a: Column, b: Column) -> Column:
@@ -100,8 +151,7 @@ def _folded(word: Column, edges: Column, first_byte: int) -> Column:
 
     def ids(end: Column, i: Column, at: Column) -> Column:
         found = code(at[i], end)
-        octets = F.hex(F.encode(F.substr(word, at[i] + 1, end - at[i]), "UTF-8"))
-        spelt = F.transform(F.sequence(F.lit(1), F.length(octets), F.lit(2)), lambda k: (F.conv(F.substr(octets, k, F.lit(2)), 16, 10).cast("int") + first_byte))
+        spelt = _spelt(word, at[i], end - at[i], first_byte)
         return F.when(found.isNotNull(), F.array((found % _RANKS).cast("int"))).otherwise(spelt)
 
     return F.flatten(F.element_at(F.transform(F.array(borders), lambda at: F.transform(F.slice(at, 2, F.size(at) - 1), lambda end, i: ids(end, i, at))), 1))
@@ -116,7 +166,9 @@ def encode_words(distinct: DataFrame, table: PieceTable) -> DataFrame:
     edges = spans.join(F.broadcast(table.frame(distinct.sparkSession)), "piece")  # the vocabulary bounds its size
     lattice = edges.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("span", "code"))).alias("edges"))
     empty = F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<bigint>"))
-    known = short.join(lattice, "word", "left").select("word", _folded(F.col("word"), F.coalesce("edges", empty), table.first_byte).alias("ids"))
+    edges_ = F.coalesce("edges", empty)
+    ids = _viterbi(F.col("word"), edges_, table) if table.kind == "UNIGRAM" else _merged(F.col("word"), edges_, table.first_byte)
+    known = short.join(lattice, "word", "left").select("word", ids.alias("ids"))
 
     path = table.path
 
@@ -130,18 +182,27 @@ def encode_words(distinct: DataFrame, table: PieceTable) -> DataFrame:
     return known.unionByName(long)
 
 
+def _free(name: str, columns: list[str]) -> str:
+    """The name, made longer until no column has it."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
 def encode(rows: DataFrame, text: str, path: str) -> DataFrame:
-    """rows with `ids`: the library's ids of the text column. Equal texts are encoded once, and so are equal words.
-    A null or empty text has no ids; rows stay as many as they are; `ids` must not be a column yet."""
+    """rows with `ids`: the library's ids of the text column. Equal texts (by their SHA-256) are encoded once, and so are equal
+    words. A null or empty text has no ids; rows stay as many as they are; a column `ids` of rows is replaced."""
     table = PieceTable(path)
-    key = F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
-    texts = rows.select(key.alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).groupBy("key").agg(F.min("text").alias("text"))
+    value = F.coalesce(F.col(text), F.lit(""))
+    mark = F.unhex(F.sha2(value, 256))
+    texts = rows.select(mark.alias("key"), value.alias("text")).groupBy("key").agg(F.min("text").alias("text"))
     placed = materialise(texts.select("key", F.posexplode(words(F.col("text"))).alias("at", "word")), "words")
     coded = materialise(encode_words(placed.select("word").distinct(), table), "encoded-words")
-    ids = placed.join(coded, "word").groupBy("key").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("at", "ids"))), lambda x: x["ids"])).alias("ids"))
-    named = rows.withColumn("__key", key)
-    out = named.join(ids.select(F.col("key").alias("__key"), "ids"), "__key", "left").drop("__key")
-    return out.withColumn("ids", F.coalesce("ids", F.array().cast("array<int>")))
+    key, found = _free("__key", rows.columns), _free("__ids", rows.columns)
+    ids = placed.join(coded, "word").groupBy(F.col("key").alias(key)).agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("at", "ids"))), lambda x: x["ids"])).alias(found))
+    out = rows.withColumn(key, mark).join(ids, key, "left")
+    kept = [c for c in rows.columns if c.lower() != "ids"]
+    return out.select(*kept, F.coalesce(found, F.array().cast("array<int>")).alias("ids"))
 
 
 def decode(ids: Column, path: str) -> Column:

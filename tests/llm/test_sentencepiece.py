@@ -4,6 +4,7 @@ import random
 import public_tokenizers
 import pytest
 import sentencepiece
+from sentencepiece import sentencepiece_model_pb2
 from pyspark.sql import functions as F
 
 from taleloom.llm.queries import QUERIES
@@ -43,10 +44,43 @@ def test_queries_encode_documents_and_conversations(spark, tmp_path):
     assert sorted(map(tuple, turns.collect())) == want
 
 
-def test_other_kinds_of_models_are_refused(tmp_path):
-    for kind in ("unigram", "bpe"):
-        texts = ["the nation of the thing", "a thing of the nations", "things then"] * 20
-        sentencepiece.SentencePieceTrainer.train(sentence_iterator=iter(texts), model_prefix=f"{tmp_path}/{kind}", model_type=kind, vocab_size=290, byte_fallback=True, hard_vocab_limit=False, minloglevel=2)
-    assert PieceTable(f"{tmp_path}/bpe.model").rows
-    with pytest.raises(ValueError, match="BPE"):
-        PieceTable(f"{tmp_path}/unigram.model")
+def _model(path, kind, pieces, byte_pieces=True, **rules):
+    """A model file of given pieces and scores; nothing is trained."""
+    proto = sentencepiece_model_pb2.ModelProto()
+    proto.trainer_spec.model_type = proto.trainer_spec.ModelType.Value(kind)
+    proto.trainer_spec.byte_fallback = byte_pieces
+    proto.normalizer_spec.name, proto.normalizer_spec.add_dummy_prefix, proto.normalizer_spec.remove_extra_whitespaces, proto.normalizer_spec.escape_whitespaces = "identity", True, False, True
+    for k, v in rules.items():
+        setattr(proto.normalizer_spec, k, v)
+    kinds = proto.SentencePiece.Type
+    rows = [("<unk>", 0, kinds.Value("UNKNOWN")), ("<s>", 0, kinds.Value("CONTROL")), ("</s>", 0, kinds.Value("CONTROL"))]
+    rows += [(f"<0x{b:02X}>", 0, kinds.Value("BYTE")) for b in range(256)] if byte_pieces else []
+    for piece, score, type_ in rows + [(x, v, kinds.Value("NORMAL")) for x, v in pieces]:
+        proto.pieces.add(piece=piece, score=score, type=type_)
+    with open(path, "wb") as f:
+        f.write(proto.SerializeToString())
+    return str(path)
+
+
+def test_unigram_pieces_by_viterbi(spark, tmp_path):
+    rng = random.Random(8)
+    pieces = {SPACE: -2.0, "a": -3.0, "b": -3.0, "ab": -5.5, SPACE + "a": -4.0, "aa": -6.0, "ba": -6.0, "aba": -9.0}  # with ties
+    while len(pieces) < 80:
+        pieces.setdefault(rng.choice(["", "", SPACE]) + "".join(rng.choice("abcde") for _ in range(rng.randint(1, 5))), -rng.randint(4, 40) / 4)
+    path = _model(tmp_path / "unigram.model", "UNIGRAM", pieces.items())
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = ["", " ", "aba", "abaaba ab", "é日x", "  a  b "] + ["".join(rng.choice("aabbcde é") for _ in range(rng.randint(1, 60))) for _ in range(300)]
+    for r in encode(spark.createDataFrame([(t,) for t in texts], "text string"), "text", path).collect():
+        assert r.ids == model.encode(r.text), r.text
+
+
+def test_a_column_named_ids_is_replaced(spark):
+    got = encode(spark.createDataFrame([("the", 5, "k", "x")], "ids string, text int, __key string, __ids string"), "ids", PATH).collect()
+    assert [tuple(r) for r in got] == [(5, "k", "x", sentencepiece.SentencePieceProcessor(model_file=PATH).encode("the"))]
+
+
+def test_other_models_are_refused(tmp_path):
+    for kind, match, kwargs in (("WORD", "kind", {}), ("CHAR", "kind", {}), ("UNIGRAM", "byte pieces", {"byte_pieces": False}), ("BPE", "rewrites", {"remove_extra_whitespaces": True})):
+        path = _model(tmp_path / f"{kind}.model", kind, [("a", -1.0), ("b", -2.0)], **kwargs)
+        with pytest.raises(ValueError, match=match):
+            PieceTable(path)
