@@ -17,20 +17,27 @@ def held_out(doc_id: Column) -> Column:
 
 
 def labelled(labels: DataFrame, column: str, value: int | None = None) -> DataFrame:
-    """(doc_id, y) of the rows to learn from: labelled, not held out, one for each id."""
+    """(doc_id, y) of the rows to learn from: labelled, not held out, one for each id (its greatest label)."""
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("y")).filter("y is not null")
-    rows = rows.filter(~held_out(F.col("doc_id")))
+    rows = rows.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
     return rows.filter(F.col("y") == value) if value is not None else rows
 
 
 def sample(ids: DataFrame, rows: int) -> DataFrame:
-    """At most `rows` of the rows, the same ones each time, spread evenly: those with the least hashes of doc_id."""
-    return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    """At most `rows` different rows, the same ones each time, spread evenly: those with the least hashes of doc_id. Of many more, a
+    bound on the hash leaves about twice as many to be sorted."""
+    mark = F.xxhash64("doc_id")
+    few, n = ids, ids.count()
+    if n > 4 * rows:
+        low = ids.filter(mark < F.lit(int(-(2**63) + 2**64 * (2 * rows / n))).cast("long")).distinct()
+        few = low if low.count() >= rows else ids
+    return few.distinct().orderBy(mark, "doc_id").limit(rows)
 
 
 def sampled_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(y, text) of a sample's documents; the sample's size is bounded, so it is broadcast."""
-    return documents(docs).join(F.broadcast(ids.dropDuplicates(["doc_id"])), "doc_id").select("y", "text")
+    """(y, text) of a sample's documents, one row for each id (its least text); the sample's size is bounded, so it is broadcast."""
+    found = documents(docs).join(F.broadcast(ids), "doc_id")
+    return found.groupBy("doc_id").agg(F.max("y").alias("y"), F.min("text").alias("text")).select("y", "text")
 
 
 def adam(parameters: dict[str, np.ndarray], rate: float = 0.01):

@@ -21,6 +21,8 @@ from taleloom.llm.learning import adam, held_out, labelled, sample, sampled_text
 LABELLED = 8000
 #: Words of a passage.
 PASSAGE_WORDS = 64
+#: Passages worked on at once.
+GROUP = 256
 THRESHOLD = 0.3
 HIDDEN, GATE = 16, 8
 
@@ -39,16 +41,29 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def passages(text: str) -> np.ndarray:
-    """A row of features for each passage of PASSAGE_WORDS words; a text without words has one row of zeros."""
+    """A row of features for each passage of PASSAGE_WORDS words; a text without words has one row of zeros. Passages are
+    worked on GROUP at a time, so that a long text takes little more memory than itself."""
     data = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
-    kind = _OF[data]
-    solid = ~_SPACE[data]
-    edge = np.diff(np.r_[False, solid, False].astype(np.int8))
+    edge = np.diff(np.concatenate([[False], ~_SPACE[data], [False]]).view(np.int8))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     n = len(start)
     if not n:
         return np.zeros((1, N_FEATURES), dtype=np.float32)
     count = max(1, round(n / PASSAGE_WORDS))
+    out, before = [], None
+    for at in range(0, count, GROUP):
+        here = min(GROUP, count - at)
+        a, b = at * PASSAGE_WORDS, (at + here) * PASSAGE_WORDS if at + here < count else n
+        left, right = int(start[a]) if at else 0, int(start[b]) if b < n else len(data)
+        rows, before = _rows(data[left:right], start[a:b] - left, end[a:b] - left, here, before)
+        out.append(rows)
+    return np.concatenate(out)
+
+
+def _rows(data: np.ndarray, start: np.ndarray, end: np.ndarray, count: int, before: np.uint64 | None) -> tuple[np.ndarray, np.uint64]:
+    """The features of so many passages from their bytes and words, and the last word's value; before: the value of the word
+    ahead of them."""
+    kind, solid, n = _OF[data], ~_SPACE[data], len(start)
     of_word = np.minimum(np.arange(n) // PASSAGE_WORDS, count - 1)
     first = np.searchsorted(of_word, np.arange(count))
     of_byte = np.searchsorted(start[first], np.arange(len(data)), side="right") - 1
@@ -59,7 +74,7 @@ def passages(text: str) -> np.ndarray:
     place = np.arange(len(data)) - np.repeat(np.r_[0, start], np.diff(np.r_[0, start, len(data)]))
     power = np.multiply.accumulate(np.full(int(place.max()) + 1, _BASE | np.uint64(1)))
     value = np.add.reduceat(np.where(solid, (data.astype(np.uint64) + np.uint64(1)) * power[place], np.uint64(0)), start)
-    again = np.r_[False, value[1:] == value[:-1]]
+    again = np.r_[before is not None and value[0] == before, value[1:] == value[:-1]]
     order = np.lexsort((value, of_word))
     fresh = np.r_[True, (value[order][1:] != value[order][:-1]) | (of_word[order][1:] != of_word[order][:-1])]
     upper = np.add.reduceat(np.where(solid & (kind == _UPPER), 1, 0), start)
@@ -79,7 +94,7 @@ def passages(text: str) -> np.ndarray:
         share((upper > 1) & (lower == 0)),
         share((upper == 0) & (lower == 0)),
     ], axis=1)
-    return np.concatenate([np.sqrt(classes / classes.sum(axis=1, keepdims=True)), more], axis=1).astype(np.float32)
+    return np.concatenate([np.sqrt(classes / classes.sum(axis=1, keepdims=True)), more], axis=1).astype(np.float32), value[-1]
 
 
 class QualityModel:

@@ -68,21 +68,24 @@ class ToxicityModel:
         return score
 
 
+def nnpu_slope(positive: np.ndarray, unlabelled: np.ndarray, w: np.ndarray, b: np.ndarray, prior: float, beta: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """The derivatives of the risk by weights and bias, under logistic loss; where the second part of the risk is below -beta,
+    those of that part alone, turned round."""
+    zp, zu = positive @ w + b, unlabelled @ w + b
+    as_negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    # derivatives of the mean losses by z
+    p_pos, p_neg, u_neg = -sigmoid(-zp) / len(zp), sigmoid(zp) / len(zp), sigmoid(zu) / len(zu)
+    gp, gu = (prior * (p_pos - p_neg), u_neg) if as_negative >= -beta else (prior * p_neg, -u_neg)
+    return gp.astype(positive.dtype) @ positive + gu.astype(unlabelled.dtype) @ unlabelled, np.array([gp.sum() + gu.sum()])  # one type: no copies of the rows
+
+
 def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 300, rate: float = 0.05, decay: float = 1e-4, beta: float = 0.0) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear classifier under logistic loss. Rows are documents."""
     model = {"w": np.zeros(positive.shape[1], dtype=np.float32), "b": np.zeros(1)}
     step = adam(model, rate)
     for _ in range(steps):
-        zp, zu = positive @ model["w"] + model["b"], unlabelled @ model["w"] + model["b"]
-        as_negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        # derivatives of the mean losses by z
-        p_pos, p_neg, u_neg = -sigmoid(-zp) / len(zp), sigmoid(zp) / len(zp), sigmoid(zu) / len(zu)
-        if as_negative >= -beta:
-            gp, gu = prior * (p_pos - p_neg), u_neg
-        else:
-            gp, gu = prior * p_neg, -u_neg
-        slope = gp.astype(np.float32) @ positive + gu.astype(np.float32) @ unlabelled  # one type: no copies of the rows
-        step({"w": slope + np.float32(decay) * model["w"], "b": np.array([gp.sum() + gu.sum()])})
+        slope, bias = nnpu_slope(positive, unlabelled, model["w"], model["b"], prior, beta)
+        step({"w": slope + np.float32(decay) * model["w"], "b": bias})
     return model["w"], float(model["b"][0])
 
 
