@@ -4,8 +4,8 @@ A fingerprint splits into a quotient (its high bits: the home slot) and a remain
 stored). Remainders of one quotient form a sorted run; runs follow each other by linear probing;
 one `occupied` bit per quotient and one `run end` bit per slot recover which run is whose. Since
 quotient and remainder together are the fingerprint, a filter lists its fingerprints and counts
-without loss, in order, and filters of any sizes merge into one. Counts stand in an array beside the
-remainders (in place of counters coded into the slots).
+without loss, in order, and filters of any sizes merge into one. Counts above one stand beside the remainders, told by
+a bit map (in place of counters coded into the slots).
 """
 
 from __future__ import annotations
@@ -57,7 +57,7 @@ class CountingQuotientFilter:
 
     @classmethod
     def merged(cls, filters: list[CountingQuotientFilter]) -> CountingQuotientFilter:
-        """One filter with the sums of the counts."""
+        """One filter with the sums of the counts. Each filter lists its fingerprints in order, so the stable sort merges runs."""
         both = [f.items() for f in filters]
         if not both:
             return cls.of(np.zeros(0, dtype=np.uint64))
@@ -66,15 +66,26 @@ class CountingQuotientFilter:
         return cls._sorted(fps[order], counts[order])
 
     def dumps(self) -> bytes:
-        return b"".join((_HEAD.pack(self.qbits, len(self.run_end), len(self.remainders)), np.packbits(self.occupied).tobytes(), np.packbits(self.run_end).tobytes(), self.remainders.tobytes(), self.counts.tobytes()))
+        """Bit maps, the remainders in as few whole bytes as hold them, and the counts above one."""
+        many, octets = self.counts > 1, self.remainders.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : self._width(self.qbits)]
+        maps = [np.packbits(x).tobytes() for x in (self.occupied, self.run_end, many)]
+        return b"".join((_HEAD.pack(self.qbits, len(self.run_end), len(self.remainders)), *maps, octets.tobytes(), self.counts[many].tobytes()))
+
+    @staticmethod
+    def _width(qbits: int) -> int:
+        return (64 - qbits + 7) // 8
 
     @classmethod
     def loads(cls, data: bytes) -> CountingQuotientFilter:
         qbits, slots, n = _HEAD.unpack_from(data)
-        raw, at = np.frombuffer(data, dtype=np.uint8, offset=_HEAD.size), 0
-        bits = []
-        for size in (1 << qbits, slots):
+        raw, at, bits = np.frombuffer(data, dtype=np.uint8, offset=_HEAD.size), 0, []
+        for size in (1 << qbits, slots, n):
             bits.append(np.unpackbits(raw[at : at + (size + 7) // 8], count=size).astype(bool))
             at += (size + 7) // 8
-        rest = raw[at:].tobytes()
-        return cls(qbits, *bits, np.frombuffer(rest, dtype=np.uint64, count=n), np.frombuffer(rest, dtype=np.int64, offset=8 * n, count=n))
+        occupied, run_end, many = bits
+        width = cls._width(qbits)
+        octets = np.zeros((n, 8), dtype=np.uint8)
+        octets[:, :width] = raw[at : at + n * width].reshape(n, width)
+        counts = np.ones(n, dtype=np.int64)
+        counts[many] = np.frombuffer(raw[at + n * width :].tobytes(), dtype=np.int64)
+        return cls(qbits, occupied, run_end, octets.view("<u8").ravel().astype(np.uint64), counts)
