@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -17,7 +18,8 @@ Extractor = Callable[[DataFrame], DataFrame]
 
 
 class Extractors:
-    """Named functions from notes to (note_id, kind, label, subtype, confidence, positions, note_ord, ord). Unknown names are skipped."""
+    """Named functions from notes to (note_id, kind, label, subtype, confidence, positions, attributes, note_ord, ord). Unknown names
+    are skipped, and so is an extractor that fails, with a warning: the others go on."""
 
     def __init__(self):
         self._known: dict[str, Extractor] = {}
@@ -31,17 +33,37 @@ class Extractors:
     def extract(self, notes: DataFrame, methods: list[str]) -> DataFrame | None:
         out = None
         for name in methods:
-            if self.has(name):
+            if not self.has(name):
+                continue
+            try:
                 got = self._known[name](notes).withColumn("method", F.lit(name))
-                out = got if out is None else out.unionByName(got)
+            except Exception as error:  # whatever an extractor of someone else's raises
+                warnings.warn(f"extraction failed for {name}: {error}", stacklevel=2)
+                continue
+            out = got if out is None else out.unionByName(got, allowMissingColumns=True)
         return out
 
 
 def by_regex(notes: DataFrame, text: str = "content") -> DataFrame:
     """Merged entities of each note, confidence 1."""
-    found = mu.merged_entities(mu.entities(notes, text)).drop("attributes")
-    out = found.join(notes.select("id", F.col("ord").alias("note_ord")), "id")
-    return out.select(F.col("id").alias("note_id"), "kind", "label", "subtype", F.lit(1.0).alias("confidence"), "positions", "note_ord", "ord")
+    found = mu.merged_entities(mu.entities(notes.withColumn("note_ord", F.col("ord")), text, ("note_ord",)), ("note_ord",))
+    return found.select(F.col("id").alias("note_id"), "kind", "label", "subtype", F.lit(1.0).alias("confidence"), "positions", "attributes", "note_ord", "ord")
+
+
+def relationships(notes: DataFrame, text: str = "content") -> DataFrame:
+    """The triples of each note as relations: (note_id, source_kind, source, target_kind, target, type, weight, confidence, method, ord)."""
+    found = mu.triples(notes, text)
+    ends = [F.col("subject_kind").alias("source_kind"), F.col("subject").alias("source"), F.col("object_kind").alias("target_kind"), F.col("object").alias("target")]
+    return found.select(F.col("id").alias("note_id"), *ends, F.col("predicate").alias("type"), F.lit(1).alias("weight"), F.lit(1.0).alias("confidence"), F.lit("regex").alias("method"), F.struct("id", "ord").alias("ord"))
+
+
+def mentions(extracted: DataFrame, notes: DataFrame, text: str = "content") -> DataFrame:
+    """(entity_id, note_id, position, context): every mention of every entity, with what stands around it. An entity without a
+    place is mentioned once, at 0, with its label for a context."""
+    rows = extracted.select(entity_id(F.col("kind"), F.col("label")).alias("entity_id"), "note_id", "label", F.explode_outer("positions").alias("position"))
+    rows = rows.join(notes.select(F.col("id").alias("note_id"), F.col(text).alias("text")), "note_id", "left")
+    context = F.when(F.col("position").isNull(), F.col("label")).otherwise(mention_context(F.col("text"), F.col("position"), F.col("label")))
+    return rows.select("entity_id", "note_id", F.coalesce("position", F.lit(0)).alias("position"), context.alias("context"))
 
 
 def mention_context(text: Column, start: Column, label: Column, radius: int = CONTEXT_RADIUS) -> Column:
@@ -58,7 +80,8 @@ def mention_count() -> Column:
 
 def merged(extracted: DataFrame) -> DataFrame:
     """One row per canonical entity: first label, kind and non-empty subtype, frequency (mentions, at least one a note), number
-    of notes, methods, and the mention-weighted mean confidence."""
+    of notes, extraction methods, and the mention-weighted mean confidence. What an entity may have without bound is a relation of
+    its own: memberships() (its notes), mentions(), merged_attributes()."""
     at = F.struct("note_ord", "ord")
     rows = extracted.withColumn("entity_id", entity_id(F.col("kind"), F.col("label"))).withColumn("n", mention_count())
     return rows.groupBy("entity_id").agg(
@@ -69,9 +92,16 @@ def merged(extracted: DataFrame) -> DataFrame:
         F.count_distinct("note_id").alias("notes"),
         (F.sum(F.col("confidence") * F.col("n")) / F.sum("n")).alias("confidence"),
         F.min(at).alias("ord"),
+        F.sort_array(F.collect_set("method")).alias("methods"),  # as many as there are extractors
     )
 
 
+def entity_attributes(extracted: DataFrame) -> DataFrame:
+    """(entity_id, key, value) of extracted entities: of the values that notes give a key, in order, the last one."""
+    rows = extracted.select(entity_id(F.col("kind"), F.col("label")).alias("entity_id"), F.struct("note_ord", "ord").alias("ord"), "attributes")
+    return merged_attributes(rows)
+
+
 def merged_attributes(rows: DataFrame) -> DataFrame:
     """(entity_id, key, value): a shallow merge of (entity_id, ord, attributes) maps in which the last one wins."""
     flat = rows.select("entity_id", "ord", F.explode("attributes").alias("key", "value"))

@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 from taleloom.functions.constants import KINDS
 from taleloom.functions.titles import jstrim
 
+# The patterns of the markup.
 TAG = r"#(\w+)"
 MENTION = r"@(\w+)"
 WIKILINK = r"\[\[\s*([^\]\s|][^\]|]*?)\s*(?:\|[^\]]*)?\]\]"
 ENTITY = r"\[([A-Z_]+)(?::([A-Z_]+))?\|([^\]]+?)(?:\|(\{.*?\}))?\]"
 BACKLINK = r"<<\s*([^>\s|][^>|]*?)\s*(?:\|[^>]*)?>>"
 TRIPLE = r"\[([A-Z_]+)\|([^\]]+)\]\s*->([A-Z_]+)->\s*\[([A-Z_]+)\|([^\]]+)\]"
-#: Inline tokens: an entity needs a bar; a wikilink may be any text in double brackets.
+# Inline tokens. An entity needs a bar; a wikilink may be any text in double brackets.
 TOKEN_ENTITY = r"\[([A-Z_]+)(?::([A-Z_]+))?\|([^\]]+)\]"
 TOKEN_LINK = r"\[\[([^\]]+)\]\]"
 # Phrases that tell a time.
@@ -87,23 +88,23 @@ def backlinks(notes: DataFrame, text: str = "content") -> DataFrame:
     return values(notes, text, BACKLINK)
 
 
-def entities(notes: DataFrame, text: str = "content") -> DataFrame:
-    """(id, ord, kind, subtype, label, attributes, position): every match, kinds not checked. attributes: JSON after its
-    single quotes became double ones; null where that is no JSON."""
-    rows = notes.select("id", F.arrays_zip(groups(F.col(text), ENTITY, 1, 2, 3, 4).alias("g"), offsets(F.col(text), ENTITY).alias("position")).alias("m"))
-    rows = rows.select("id", F.posexplode("m").alias("ord", "x"))
+def entities(notes: DataFrame, text: str = "content", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, ord, kind, subtype, label, attributes, position, and the columns of notes to keep): every match, kinds not checked.
+    attributes: JSON after its single quotes became double ones; null where that is no JSON."""
+    rows = notes.select("id", *keep, F.arrays_zip(groups(F.col(text), ENTITY, 1, 2, 3, 4).alias("g"), offsets(F.col(text), ENTITY).alias("position")).alias("m"))
+    rows = rows.select("id", *keep, F.posexplode("m").alias("ord", "x"))
     json = F.replace("x.g.g4", F.lit("'"), F.lit('"'))
     return rows.select(
         "id", "ord", F.col("x.g.g1").alias("kind"), F.when(F.col("x.g.g2") != "", F.col("x.g.g2")).alias("subtype"), F.col("x.g.g3").alias("label"),
-        F.when(F.try_parse_json(json).isNotNull(), F.from_json(json, "map<string,string>")).alias("attributes"), F.col("x.position").alias("position"),
+        F.when(F.try_parse_json(json).isNotNull(), F.from_json(json, "map<string,string>")).alias("attributes"), F.col("x.position").alias("position"), *keep,
     )
 
 
-def merged_entities(found: DataFrame) -> DataFrame:
-    """One row per (note, kind, subtype, label): positions in order, the first one's attributes."""
-    keys = ["id", "kind", "subtype", "label"]
+def merged_entities(found: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per (note, kind, subtype, label): positions in order, the first one's attributes. keep: columns of the note."""
+    keys = ["id", "kind", "subtype", "label", *keep]
     out = found.groupBy(*keys).agg(F.sort_array(F.collect_list("position")).alias("positions"), F.min("ord").alias("ord"), F.min_by("attributes", "ord").alias("attributes"))
-    return out.select("id", "ord", "kind", "subtype", "label", "positions", "attributes")
+    return out.select("id", "ord", "kind", "subtype", "label", "positions", "attributes", *keep)
 
 
 def triples(notes: DataFrame, text: str = "content") -> DataFrame:

@@ -94,13 +94,20 @@ def m13(spark, d):
     return table(spark, d, "documents").select("doc_id", mu.has_syntax(F.col("text")).alias("has_syntax"))
 
 
-@query("p01_tokens", sql.with_(sql.NOTES, r"""SELECT id, type, count(*) AS n FROM (
-    SELECT id, 'entity' AS type FROM (SELECT id, unnest(regexp_extract_all(content, '\[(CHARACTER|LOCATION|ITEM|FACTION)(?::[A-Z]+)?\|[^\]]+\]')) FROM notes)
-    UNION ALL SELECT id, 'wikilink' FROM (SELECT id, unnest(regexp_extract_all(content, '\[\[[^\]]+\]\]')) FROM notes)
-    UNION ALL SELECT id, 'mention' FROM (SELECT id, unnest(regexp_extract_all(content, '@\w+')) FROM notes)
-    UNION ALL SELECT id, 'tag' FROM (SELECT id, unnest(regexp_extract_all(regexp_replace(content, '\[[^\]]*\]', '', 'g'), '#\w+')) FROM notes)) GROUP BY id, type"""))
+def _spans(kind: str, pattern: str) -> str:
+    """SQL for the places of a pattern's matches in the notes, from the text between them."""
+    return f"""(SELECT id, '{kind}' AS type, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(w[1:i-1], lambda x: length(x))), 0) AS s, w[i] AS text FROM
+        (SELECT id, regexp_extract_all(content, '{pattern}', 0) AS w, string_split_regex(content, '{pattern}') AS g FROM notes), LATERAL (SELECT unnest(generate_series(1, len(w))) AS i) t)"""
+
+
+_TOKENS = ", brackets AS (SELECT * FROM " + _spans("entity", r"\[(?:[A-Z_]+)(?::(?:[A-Z_]+))?\|(?:[^\]]+)\]") + "), loose AS (SELECT * FROM " + _spans("wikilink", r"\[\[(?:[^\]]+)\]\]") + " UNION ALL SELECT * FROM " + _spans("tag", r"#\w+") + " UNION ALL SELECT * FROM " + _spans("mention", r"@\w+") + ")"
+
+
+@query("p01_tokens", sql.with_(sql.NOTES + _TOKENS, r"""SELECT id, CAST(s AS INTEGER) AS "start", CAST(s + length(text) AS INTEGER) AS "end", type, text FROM (
+    SELECT * FROM brackets WHERE regexp_matches(text, '^\[(CHARACTER|LOCATION|ITEM|FACTION)[:|]')
+    UNION ALL SELECT * FROM loose l WHERE NOT EXISTS (SELECT 1 FROM brackets b WHERE b.id = l.id AND b.s < l.s + length(l.text) AND l.s < b.s + length(b.text)))"""))
 def p01(spark, d):
-    return mu.tokens(corpus.notes(spark, d)).groupBy("id", "type").agg(F.count("*").alias("n"))
+    return mu.tokens(corpus.notes(spark, d))
 
 
 _PHRASE = "CASE event_id % 4 WHEN 0 THEN 'Three days later, at dawn, ' || event_type || ' came the next morning' WHEN 1 THEN 'meanwhile 5 hours ago ' || event_type WHEN 2 THEN 'that evening, moments later' ELSE event_type END"

@@ -258,3 +258,7 @@ def test_extractor_registry(spark):
     assert known.has("regex") and not known.has("llm")
     assert known.extract(markup_rows(spark, "[ITEM|a]"), ["llm"]) is None
     assert known.extract(markup_rows(spark, "[ITEM|a] [ITEM|a]"), ["llm", "regex"]).first().positions == [0, 9]
+    known.register("broken", lambda notes: notes.select("no such column"))
+    with pytest.warns(UserWarning, match="broken"):
+        got = known.extract(markup_rows(spark, "[ITEM|a|{'x': '1'}]"), ["broken", "regex"])
+    assert got.first().attributes == {"x": "1"} and entities.merged(got).first().methods == ["regex"]
