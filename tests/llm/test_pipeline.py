@@ -86,3 +86,11 @@ def test_rows_that_cannot_be_told_apart(spark, folder, stage):
 def test_empty_table(spark, folder, stage):
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
     assert STAGE[stage](spark, docs, folder).count() == 0
+
+
+@pytest.mark.parametrize("stage", [corpus_pipeline.exact_dedup, corpus_pipeline.simhash_near_dedup])
+def test_stages_keep_columns_with_clashing_names(spark, stage):
+    rows = [(2, "a text of some words", "x", 1, 5), (1, "a text of some words", "y", 2, 6), (1, "a text of some words", "z", 3, 7), (3, "another text, not like it at all", "w", 4, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __id string, __mark int, mark int")
+    got = stage(spark, docs, "").collect()
+    assert sorted(r.doc_id for r in got) == [1, 3] and set(map(tuple, got)) <= set(rows)
