@@ -27,14 +27,15 @@ def _kept(docs: DataFrame, found: DataFrame, mark: Column) -> DataFrame:
     """The rows of docs that `found` (doc_id, mark, kept: a row for each of docs) keeps; `mark` is made from the text.
     Documents themselves move only if the dropped pairs are too many to broadcast. Rows with the
     same id and mark can't be told apart; of those that are kept at all, one is."""
-    pairs = materialise(found.groupBy(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).agg(F.count("*").alias("n"), F.max(F.col("kept").cast("int")).alias("kept")).filter("n > 1 or kept = 0"), "pairs")
-    same = docs["doc_id"].eqNullSafe(F.col("__id")) & (mark == F.col("__mark"))
-    out = docs.join(bounded_broadcast(pairs.select("__id", "__mark")), same, "left_anti")
-    twins = pairs.filter("kept = 1").select("__id", "__mark")
+    id_, mark_ = (next(n for n in (f"__{x}{'_' * k}" for k in range(len(docs.columns) + 1)) if n not in docs.columns) for x in ("id", "mark"))
+    pairs = materialise(found.groupBy(F.col("doc_id").alias(id_), F.col("mark").alias(mark_)).agg(F.count("*").alias("n"), F.max(F.col("kept").cast("int")).alias("kept")).filter("n > 1 or kept = 0"), "pairs")
+    same = docs["doc_id"].eqNullSafe(F.col(id_)) & (mark == F.col(mark_))
+    out = docs.join(bounded_broadcast(pairs.select(id_, mark_)), same, "left_anti")
+    twins = pairs.filter("kept = 1").select(id_, mark_)
     if twins.isEmpty():
         return out
-    again = docs.join(bounded_broadcast(twins), same, "left_semi").withColumn("__mark", mark)
-    return out.unionByName(again.dropDuplicates(["doc_id", "__mark"]).drop("__mark"))
+    again = docs.join(bounded_broadcast(twins), same, "left_semi").withColumn(mark_, mark)
+    return out.unionByName(again.dropDuplicates(["doc_id", mark_]).drop(mark_))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
