@@ -74,6 +74,20 @@ def test_unigram_pieces_by_viterbi(spark, tmp_path):
         assert r.ids == model.encode(r.text), r.text
 
 
+def test_bpe_pieces_that_rank_before_their_parts(spark, tmp_path):
+    rng = random.Random(9)
+    found = {SPACE, *"abcd"}
+    while len(found) < 90:
+        found.add(rng.choice(["", "", SPACE]) + "".join(rng.choice("abcd") for _ in range(rng.randint(2, 5))))
+    pieces = sorted(found)
+    rng.shuffle(pieces)  # the order of ranks is any: parts before and after what they are parts of
+    path = _model(tmp_path / "bpe.model", "BPE", [(x, -float(i)) for i, x in enumerate(pieces)])
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = ["", "aaaa", "abab" * 12, "eaé日b"] + ["".join(rng.choice("aabbcde ") for _ in range(rng.randint(1, 60))) for _ in range(500)]
+    for r in encode(spark.createDataFrame([(t,) for t in texts], "text string"), "text", path).collect():
+        assert r.ids == model.encode(r.text), r.text
+
+
 def test_a_column_named_ids_is_replaced(spark):
     got = encode(spark.createDataFrame([("the", 5, "k", "x")], "ids string, text int, __key string, __ids string"), "ids", PATH).collect()
     assert [tuple(r) for r in got] == [(5, "k", "x", sentencepiece.SentencePieceProcessor(model_file=PATH).encode("the"))]
