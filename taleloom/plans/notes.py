@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from taleloom.functions import marks
 from taleloom.functions import titles as tt
 from taleloom.functions.constants import SUBTYPES
 from taleloom.operators import hierarchy as hi
@@ -262,3 +263,36 @@ def z06(spark, d):
     return rows.select("p_partkey", data_url(c("url")).alias("x")).select("p_partkey", "x.mime", F.decode("x.data", "UTF-8").alias("content"))
 
 
+@query("z01_ids", "SELECT count(*) AS notes, count(*) AS different, count(*) AS well_formed FROM orders")
+def z01(spark, d):
+    ids = corpus.notes(spark, d).select(tt.new_id().alias("id"))
+    return ids.agg(F.count("*").alias("notes"), F.count_distinct("id").alias("different"), F.count_if(c("id").rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$")).alias("well_formed"))
+
+
+MARKED = """WITH p AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'EVENT' WHEN 1 THEN 'NPC' WHEN 2 THEN 'OTHER' END AS kind,
+                          p_name || ' "a" <b> & &lt;' AS label, CASE WHEN p_partkey % 3 = 0 THEN '{"size":' || p_size || '}' END AS json FROM part),
+                 e AS (SELECT *, CASE kind WHEN 'EVENT' THEN '#14b8a6' WHEN 'NPC' THEN '#f59e0b' ELSE '#6b7280' END AS color,
+                          replace(replace(replace(replace(label, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS safe FROM p)"""
+
+
+@query("z07_entity_marks", MARKED + """
+    SELECT p_partkey, '<span' || coalesce(' data-kind="' || kind || '"', '') || ' data-label="' || safe || '"' || coalesce(' data-attributes="' || replace(json, '"', '&quot;') || '"', '')
+           || ' data-entity="true" class="entity-mark" style="background-color: ' || color || '20; color: ' || color
+           || '; padding: 2px 6px; border-radius: 4px; font-weight: 500; font-size: 0.875em;">' || safe || '</span>' AS html, kind, label, json AS attributes FROM e""")
+def z07_entity(spark, d):
+    kind = F.when(c("p_partkey") % 4 == 0, "EVENT").when(c("p_partkey") % 4 == 1, "NPC").when(c("p_partkey") % 4 == 2, "OTHER")
+    label = F.concat("p_name", F.lit(' "a" <b> & &lt;'))
+    attributes = F.when(c("p_partkey") % 3 == 0, F.concat(F.lit('{"size":'), c("p_size").cast("string"), F.lit("}")))
+    rows = table(spark, d, "part").select("p_partkey", marks.mark_html("entity", label, kind, label, attributes).alias("html"))
+    return rows.select("p_partkey", "html", marks.mark_values("entity", c("html")).alias("x")).select("p_partkey", "html", "x.*")
+
+
+@query("z07_other_marks", """
+    WITH m AS (SELECT * FROM (VALUES ('tag', 'data-tag', '#3b82f6', ''), ('mention', 'data-mention-id', '#10b981', ''),
+                                     ('wikilink', 'data-wikilink-title', '#6366f1', ' text-decoration: underline; text-decoration-style: dotted; cursor: pointer;')) AS t(mark, name, color, more))
+    SELECT p_partkey, mark, '<span ' || name || '="' || p_name || '" class="' || mark || '-mark" style="background-color: ' || color || '20; color: ' || color
+           || '; padding: 2px 6px; border-radius: 4px; font-weight: 500; font-size: 0.875em;' || more || '">' || p_brand || '</span>' AS html, p_name AS value FROM part, m""")
+def z07_others(spark, d):
+    rows = table(spark, d, "part").select("p_partkey", F.explode(F.array(*[F.struct(F.lit(m).alias("mark"), marks.mark_html(m, c("p_brand"), c("p_name")).alias("html")) for m in marks.TINTS])).alias("x"))
+    value = F.coalesce(*[F.when(c("x.mark") == m, marks.mark_values(m, c("x.html"))[marks.MARKS[m][0][0].removeprefix("data-").replace("-", "_")]) for m in marks.TINTS])
+    return rows.select("p_partkey", "x.mark", "x.html", value.alias("value"))

@@ -16,7 +16,7 @@ QUERIES, ORACLES = all_queries(), all_oracles()
 WITHOUT_SQL: set[str] = set()
 FEW = """c03_cooccurrence c06_explicit_relations d01_parse d04_offsets d09_display e02_e03_failing_extractor e04_attributes e06_merge e06_mentions g01_build g03_betweenness g08_analytics g12_cytoscape g06_components_large g11_ego_nodes h03_order_importance
 h08_nested_events h09_event_tree h10_scene_subtitle h17_select_item k04_delete k08_note_entities k15_standing l02_context l06_backlinks l08_find_note m08_entities m10_triples n01_parse_title n11_edit_title p01_tokens
-r04_folder_tree r08_derive_folders r13_patch r15_delete_folder s01_s02_s04_s08_snapshots s05_export s07_registry t01_analytics_text w01_change_stream w02_sync x12_keyword_density x14_analyze_text z06_data_url""".split()
+r04_folder_tree r08_derive_folders r13_patch r15_delete_folder s01_s02_s04_s08_snapshots s05_export s07_registry t01_analytics_text w01_change_stream w02_sync x12_keyword_density x14_analyze_text z01_ids z06_data_url z07_entity_marks z07_other_marks""".split()
 
 pytestmark = pytest.mark.skipif(not Path(DIR).exists(), reason="the driver's tables are not here")
 
