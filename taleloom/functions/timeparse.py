@@ -141,11 +141,17 @@ def display(p: Column, full: bool = True) -> Column:
     return F.when(p["granularity"] == "precise", F.coalesce(exact, p["display_text"])).when((p["granularity"] == "sequential") & (seq != ""), seq).otherwise(p["display_text"])
 
 
+def millis(timestamp: Column) -> Column:
+    """Milliseconds, rounded, halves away from zero: as epoch_ms() of the SQL counts finer times."""
+    rest = F.pmod(F.unix_micros(timestamp), F.lit(1000))
+    return F.unix_millis(timestamp) + F.when((rest > 500) | (rest == 500) & (F.unix_micros(timestamp) > 0), 1).otherwise(0)
+
+
 def comparable(p: Column, reference_ms: Column) -> Column:
     """A long to sort by: milliseconds, a weighted sequence, or a reference's time and an offset; else the largest."""
     zero = F.lit(0)
     return (
-        F.when(p["timestamp"].isNotNull(), F.unix_millis(p["timestamp"]))
+        F.when(p["timestamp"].isNotNull(), millis(p["timestamp"]))
         .when(p["granularity"] == "sequential", F.coalesce(p["chapter"], zero) * 1_000_000 + F.coalesce(p["act"], zero) * 1000 + F.coalesce(p["sequence"], zero))
         .when(p["granularity"] == "relative", (F.coalesce(reference_ms, zero) + F.coalesce(p["offset_days"], F.lit(0.0)) * 86_400_000 + F.coalesce(p["offset_hours"], F.lit(0.0)) * 3_600_000).cast("long"))
         .otherwise(F.lit(NEVER))

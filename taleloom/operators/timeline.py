@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from taleloom.functions.timeparse import comparable
+from taleloom.functions.timeparse import comparable, millis
 from taleloom.operators.ordering import numbered
 from taleloom.operators.trees import ascended
 
@@ -29,7 +29,7 @@ def rank(importance: Column) -> Column:
 def with_time(rows: DataFrame, references: DataFrame) -> DataFrame:
     """rows with `time`. references: (id, start) of scenes and events; only their own timestamps count, not
     what those refer to; an unknown reference is 0."""
-    known = references.filter("start.timestamp is not null").groupBy(F.col("id").alias("ref")).agg(F.min(F.unix_millis("start.timestamp")).alias("ref_ms"))
+    known = references.filter("start.timestamp is not null").groupBy(F.col("id").alias("ref")).agg(F.min(millis(F.col("start.timestamp"))).alias("ref_ms"))
     out = rows.join(known, rows["start"]["relative_to"] == known["ref"], "left")
     return out.withColumn("time", comparable(F.col("start"), F.col("ref_ms"))).drop("ref", "ref_ms")
 

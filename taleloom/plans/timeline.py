@@ -85,7 +85,7 @@ def d01(spark, d):
 
 @query("d02_dates", sql.with_(_POINTS, "SELECT e, epoch_ms(moment) AS ms FROM points WHERE moment IS NOT NULL"))
 def d02(spark, d):
-    return points(spark, d).filter("start.timestamp is not null").select("e", F.unix_millis("start.timestamp").alias("ms"))
+    return points(spark, d).filter("start.timestamp is not null").select("e", tp.millis(c("start.timestamp")).alias("ms"))
 
 
 @query("d03_is_relative", sql.with_(_POINTS, "SELECT e, granularity = 'relative' OR phrase = 'next morning' AS relative FROM points"))
