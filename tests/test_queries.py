@@ -77,3 +77,8 @@ def test_order_of_times_finer_than_a_millisecond(spark):
 def test_flow_score_on_a_border(spark):
     same, found = against_sql(spark, "x11_flow_score", {"documents": "SELECT 1::BIGINT AS doc_id, 'a a a a a. b b b b b. c c c. d d d.' AS text"})
     assert same and found == [(1, 12)]
+
+
+def test_every_statistic_on_a_border(spark):
+    documents = "SELECT * FROM (VALUES (1::BIGINT, 'a a a a a. b b b b b. c c c. d d d.'), (2, 'a. a b c. a b c. a'), (3, '...'), (4, ' ')) t(doc_id, text)"
+    assert against_sql(spark, "x14_analyze_text", {"documents": documents})[0]
