@@ -13,8 +13,11 @@ than that. Nothing is indexed on the driver but the pivots.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,11 +68,17 @@ def weights(vectors: np.ndarray, pivots: np.ndarray, prefix: int = PREFIX, level
     the level (the lowest holds all of the prefix, the next ones ever nearer pivots)."""
     near = vectors @ pivots.T
     prefix = min(prefix, len(pivots))
-    order = np.argsort(-near, axis=1, kind="stable")[:, :prefix]
-    weight = np.zeros(near.shape, dtype=np.int32)
-    np.put_along_axis(weight, order, np.arange(prefix, 0, -1, dtype=np.int32)[None, :], axis=1)
     step = -(-prefix // levels)
-    return np.concatenate([weight > step * level for level in range(levels)], axis=1).astype(np.float32)
+    sizes = [max(0, prefix - step * level) for level in range(levels)]
+    places = [near.shape[1] - size for size in sizes if size]
+    parted = np.partition(near, places, axis=1)
+    out = np.zeros((len(near), levels, near.shape[1]), dtype=np.float32)
+    for level, place in enumerate(places):
+        out[:, level] = near >= parted[:, place, None]
+        for row in np.flatnonzero(out[:, level].sum(axis=1) != sizes[level]):  # equally near pivots at the border: those in front
+            out[row, level] = 0
+            out[row, level, np.argsort(-near[row], kind="stable")[: sizes[level]]] = 1
+    return out.reshape(len(near), -1)
 
 
 def agreement(queries: np.ndarray, posted: np.ndarray) -> np.ndarray:
@@ -78,6 +87,26 @@ def agreement(queries: np.ndarray, posted: np.ndarray) -> np.ndarray:
     return queries @ posted.T  # whole numbers, below what a float holds
 
 
+def shortlist(near: np.ndarray, count: int) -> np.ndarray:
+    """For each query, which `count` vectors are nearest; of equally near ones those in front. With its place, a whole number is
+    unlike all others of its row, so that one border cuts the row, and no row is sorted."""
+    rows = near.shape[1]
+    if count >= rows:
+        return np.ones(near.shape, dtype=bool)
+    unlike = near.astype(np.int64) * rows - np.arange(rows)
+    return unlike >= np.partition(unlike, rows - count, axis=1)[:, rows - count, None]
+
+
+def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            x = batch.column(0).flatten().to_numpy().reshape(batch.num_rows, -1)
+            large = np.abs(x).max(axis=1)
+            with np.errstate(over="ignore"):
+                length = large * np.sqrt(((x / large[:, None]) ** 2).sum(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(length)], names=["length"])
+
+
 def _cell(pivots: np.ndarray, top_length: float, k: int, share: float):
     def find(key: tuple, block: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -90,19 +119,25 @@ def _cell(pivots: np.ndarray, top_length: float, k: int, share: float):
             query_ids, first = queries["query_id"].to_numpy(), np.searchsorted(vector, np.arange(len(x) + 1))
             copies = [np.arange(a, min(b, a + k + 1)) for a, b in zip(first[:-1], first[1:], strict=True)]  # one may be the query's own
             count = min(len(x), max(RERANKED_ROWS, k, int(np.ceil(share * len(ids)))))
+            room = np.empty_like(x)  # used again for each query
+            single = len(np.unique(ids)) == len(ids)
             level, longer = levelled(x, top_length)
             posted, asked = weights(level, pivots), weights(np.column_stack([q, np.zeros(len(q))]), pivots)
             for at in range(0, len(q), 256):
-                near = agreement(asked[at : at + 256], posted)
-                for i, row in enumerate(near, at):
-                    best = np.argsort(row.max() - row, kind="stable")[:count] if count < len(x) else np.arange(len(x))
-                    best = np.union1d(best, longer)
-                    score = np.zeros(len(x))
-                    score[best] = (x[best] * q[i]).sum(axis=1)
+                for i, row in enumerate(shortlist(agreement(asked[at : at + 256], posted), count), at):
+                    row[longer] = True
+                    best = np.flatnonzero(row)
+                    taken = np.take(x, best, axis=0, out=room[: len(best)], mode="clip")
+                    value = np.multiply(taken, q[i], out=taken).sum(axis=1)
+                    if single and len(best) > k + 1:  # vectors behind k + 1 others, of which one may be the query's own, can't be returned
+                        known = np.where(np.isnan(value), -np.inf, value)
+                        ahead = known >= np.partition(known, -k - 1)[-k - 1]
+                        best, value = best[ahead], value[ahead]
+                    score = dict(zip(best.tolist(), value.tolist(), strict=True))
                     best = np.concatenate([copies[v] for v in best])
                     best = best[ids[best] != query_ids[i]]
                     best = best[np.argsort(ids[best], kind="stable")]
-                    score = score[vector[best]]
+                    score = np.array([score[v] for v in vector[best].tolist()])
                     top = np.lexsort((ids[best], -score))
                     if (ids[best][1:] == ids[best][:-1]).any():  # an id with several vectors: its best one
                         top = top[np.sort(np.unique(ids[best][top], return_index=True)[1])]
@@ -124,9 +159,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, share: float = RERA
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").collect()
     if not sample:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    large = F.array_max(F.transform("embedding", F.abs))
-    length = large * F.sqrt(F.aggregate(F.transform("embedding", lambda x: x / large), F.lit(0.0), lambda a, x: a + x * x))
-    longest, usual = rows.select(length.alias("length")).agg(F.max("length"), F.percentile_approx("length", 0.99)).first()
+    lengths = rows.select("embedding").mapInArrow(_lengths, "length double")
+    longest, usual = lengths.agg(F.max("length"), F.percentile_approx("length", 0.99)).first()
     top = min(longest, LONG * usual)
     pivots = choose_pivots(levelled(np.array([r[0] for r in sample]), top)[0])
     queries = rows.filter(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("embedding").alias("asked"))

@@ -119,3 +119,19 @@ def test_recall_of_unequal_norms(spark):
 
 def test_no_vectors(spark):
     assert index.search(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_borders_cut_as_stable_sorts_do():
+    rng = np.random.default_rng(11)
+    for count in (1, 5, 17, 29, 30, 40):
+        near = rng.integers(0, 6, size=(9, 30)).astype(np.float32)  # with many ties
+        for row, taken in zip(near, index.shortlist(near, count), strict=True):
+            assert np.flatnonzero(taken).tolist() == sorted(np.argsort(-row, kind="stable")[:count].tolist())
+        vectors, pivots = rng.integers(-2, 3, size=(20, 3)).astype(float), rng.integers(-2, 3, size=(25, 3)).astype(float)
+        order = np.argsort(-(vectors @ pivots.T), axis=1, kind="stable")
+        posted = index.weights(vectors, pivots, count, 3).reshape(20, 3, 25)
+        prefix = min(count, 25)
+        for level in range(3):
+            size = max(0, prefix - -(-prefix // 3) * level)
+            for row, ranks in zip(posted[:, level], order, strict=True):
+                assert np.flatnonzero(row).tolist() == sorted(ranks[:size].tolist())
