@@ -1,9 +1,9 @@
 """SentencePiece encoding and decoding by relations: a lattice of substrings, joined to the piece table.
 
 A text becomes words: runs of spaces (written as U+2581) and what follows up to the next. No piece of the table reaches
-over such a border (checked when the table is read), so words are encoded on their own, each different one once. A word's
-substrings of bounded length, joined to the table, are the edges of its lattice; grouped by word, they are folded with a
-higher-order aggregate.
+over such a border (checked when the table is read), so words are encoded on their own; those of BPE models are cut further. Each
+different part's substrings, looked up in the piece table by the task that met it, are the edges of its lattice; Spark folds
+them with a higher-order aggregate in the same task.
 
 The fold follows the model's kind, and kinds other than these two are refused when the table is read. For unigram models, whose
 pieces have log probabilities, it is Viterbi's: position by position, the best way to it. BPE scores give the order of merges
@@ -14,18 +14,23 @@ equals) until no edge joins two neighbours.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from taleloom.llm.common import materialise
+from pyspark.sql import types as T
 
 SPACE = "▁"
 #: Words of more characters go through the library: the fold's work grows with the square of a word.
 LATTICE_CHARS = 48
+#: Different words or parts that a task keeps at most, and the rows of a batch, so that what is in memory has a bound.
+PARTS, ROWS, PIECE_ROWS = 500_000, 500, 5_000
+_WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
 _RANKS = 1 << 20  # ranks and ids are below
 
 
@@ -78,15 +83,6 @@ class PieceTable:
         for b, i in octets.items():
             self.hex[i] = f"{b:02x}"
 
-    def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows, "piece string, code long")
-
-
-def words(text: Column) -> Column:
-    """The words of a text, in order; none for an empty text."""
-    marked = F.concat(F.lit(SPACE), F.replace(text, F.lit(" "), F.lit(SPACE)))
-    return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.regexp_extract_all(marked, F.lit(f"{SPACE}+[^{SPACE}]*"), F.lit(0)))
-
 
 def _spelt(word: Column, start: Column, size: Column, first_byte: int) -> Column:
     """The byte pieces of a part of a word."""
@@ -157,29 +153,62 @@ def _merged(word: Column, edges: Column, first_byte: int) -> Column:
     return F.flatten(F.element_at(F.transform(F.array(borders), lambda at: F.transform(F.slice(at, 2, F.size(at) - 1), lambda end, i: ids(end, i, at))), 1))
 
 
-def encode_words(distinct: DataFrame, table: PieceTable) -> DataFrame:
-    """(word, ids) of distinct words."""
-    short = distinct.filter(F.length("word") <= LATTICE_CHARS)
-    starts = short.select("word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("start"))
-    spans = starts.select("word", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(table.longest), F.length("word") - F.col("start")))).alias("size"))
-    spans = spans.select("word", (F.col("start") * 64 + F.col("size")).cast("int").alias("span"), F.expr("substring(word, start + 1, size)").alias("piece"))
-    edges = spans.join(F.broadcast(table.frame(distinct.sparkSession)), "piece")  # the vocabulary bounds its size
-    lattice = edges.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("span", "code"))).alias("edges"))
-    empty = F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<bigint>"))
-    edges_ = F.coalesce("edges", empty)
-    ids = _viterbi(F.col("word"), edges_, table) if table.kind == "UNIGRAM" else _merged(F.col("word"), edges_, table.first_byte)
-    known = short.join(lattice, "word", "left").select("word", ids.alias("ids"))
-
-    path = table.path
-
-    @F.pandas_udf("array<int>")
-    def by_library(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = _model(path)
-        for batch in batches:
-            yield pd.Series([model.encode(w[1:].replace(SPACE, " ")) for w in batch])
-
-    long = distinct.filter(F.length("word") > LATTICE_CHARS).select("word", by_library("word").alias("ids"))
-    return known.unionByName(long)
+class _Parts:
+    """The words of texts, cut between characters that are neighbours in no piece (BPE only: there each part is merged by itself, while
+    the sums of Viterbi start with the word), each different part once, numbered from 0."""
+
+    def __init__(self, table: PieceTable):
+        self.table, self.codes = table, dict(table.rows)
+        self.beginnings = {piece[:n] for piece in self.codes for n in range(1, len(piece) + 1)}
+        self.inner = {a + b for piece in self.codes for a, b in zip(piece, piece[1:])}
+        self.words: dict[str, tuple[int, ...]] = {}
+        self.parts: dict[str, int] = {}
+        self.new: list[tuple[int, str]] = []
+
+    def _cut(self, word: str) -> list[str]:
+        if self.table.kind != "BPE":
+            return [word]
+        borders = [0, *(i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.inner), len(word)]
+        parts = [word[a:b] for a, b in zip(borders, borders[1:])]
+        # The library takes whole words only: it puts a mark before what it is given.
+        return [word] if max(map(len, parts)) > LATTICE_CHARS else parts
+
+    def _number(self, part: str) -> int:
+        n = self.parts.get(part)
+        if n is None:
+            n = self.parts[part] = len(self.parts)
+            self.new.append((n, part))
+        return n
+
+    def of(self, text: str) -> list[int]:
+        out: list[int] = []
+        for word in _WORD.findall(SPACE + text.replace(" ", SPACE)) if text else ():
+            found = self.words.get(word)
+            if found is None:
+                found = self.words[word] = tuple(map(self._number, self._cut(word)))
+            out += found
+        return out
+
+    def taken(self) -> pa.RecordBatch:
+        """The parts that are new: number, part, its lattice (substrings joined to the piece table), and the library's ids of long ones."""
+        spans, codes, ends, ids, get = [], [], [0], [], self.codes.get
+        for _, part in self.new:
+            n = len(part)
+            for start in range(n if n <= LATTICE_CHARS else 0):
+                for end in range(start + 1, n + 1):
+                    piece = part[start:end]
+                    if piece not in self.beginnings:
+                        break
+                    code = get(piece)
+                    if code is not None:
+                        spans.append(start * 64 + end - start)
+                        codes.append(code)
+            ends.append(len(spans))
+            ids.append(_model(self.table.path).encode(part[1:].replace(SPACE, " ")) if n > LATTICE_CHARS else None)
+        lattice = pa.MapArray.from_arrays(pa.array(ends, pa.int32()), pa.array(spans, pa.int32()), pa.array(codes, pa.int64()))
+        batch = pa.RecordBatch.from_arrays([pa.array([n for n, _ in self.new], pa.int32()), pa.array([x for _, x in self.new], pa.string()), lattice, pa.array(ids, pa.list_(pa.int32()))], names=["number", "part", "edges", "known"])
+        self.new = []
+        return batch
 
 
 def _free(name: str, columns: list[str]) -> str:
@@ -190,19 +219,69 @@ def _free(name: str, columns: list[str]) -> str:
 
 
 def encode(rows: DataFrame, text: str, path: str) -> DataFrame:
-    """rows with `ids`: the library's ids of the text column. Equal texts (by their SHA-256) are encoded once, and so are equal
-    words. A null or empty text has no ids; rows stay as many as they are; a column `ids` of rows is replaced."""
+    """rows with `ids`: the library's ids of the text column. A null or empty text has no ids; rows stay as many as they are; a
+    column `ids` of rows is replaced.
+
+    Nothing is shuffled or stored. A task sends each batch of rows after the parts that are new in it, with their lattices; Spark
+    folds those rows; and what reads them next, in the same order, puts the ids of the parts in the place of their numbers."""
     table = PieceTable(path)
-    value = F.coalesce(F.col(text), F.lit(""))
-    mark = F.unhex(F.sha2(value, 256))
-    texts = rows.select(mark.alias("key"), value.alias("text")).groupBy("key").agg(F.min("text").alias("text"))
-    placed = materialise(texts.select("key", F.posexplode(words(F.col("text"))).alias("at", "word")), "words")
-    coded = materialise(encode_words(placed.select("word").distinct(), table), "encoded-words")
-    key, found = _free("__key", rows.columns), _free("__ids", rows.columns)
-    ids = placed.join(coded, "word").groupBy(F.col("key").alias(key)).agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("at", "ids"))), lambda x: x["ids"])).alias(found))
-    out = rows.withColumn(key, mark).join(ids, key, "left")
     kept = [c for c in rows.columns if c.lower() != "ids"]
-    return out.select(*kept, F.coalesce(found, F.array().cast("array<int>")).alias("ids"))
+    own = ["__text", "__numbers", "__number", "__part", "__edges", "__known"]
+    own = [_free(c, rows.columns) for c in own]
+    text_, numbers_, number_, part_, edges_, known_ = own
+    sent = rows.select(*kept, F.coalesce(F.col(text).cast("string"), F.lit("")).alias(text_))
+    loose = T.StructType([T.StructField(f.name, f.dataType) for f in sent.schema.fields[:-1]])
+    schema = T.StructType(loose.fields + [
+        T.StructField(numbers_, T.ArrayType(T.IntegerType())), T.StructField(number_, T.IntegerType()), T.StructField(part_, T.StringType()),
+        T.StructField(edges_, T.MapType(T.IntegerType(), T.LongType())), T.StructField(known_, T.ArrayType(T.IntegerType())),
+    ])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = _Parts(table)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                if max(len(parts.parts), len(parts.words)) > PARTS:
+                    parts = _Parts(table)
+                numbers = pa.array([parts.of(t) for t in batch.column(batch.num_columns - 1).to_pylist()], pa.list_(pa.int32()))
+                new, columns = parts.taken(), batch.columns[:-1]
+                for part in (new.slice(i, PIECE_ROWS) for i in range(0, new.num_rows, PIECE_ROWS)):
+                    n = part.num_rows
+                    yield pa.RecordBatch.from_arrays([pa.nulls(n, c.type) for c in columns] + [pa.nulls(n, numbers.type), *part.columns], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*columns, numbers, *[pa.nulls(batch.num_rows, c.type) for c in new.columns]], names=schema.names)
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for batch in batches:
+            number, ids = batch.column(batch.num_columns - 2).to_numpy(zero_copy_only=False), batch.column(batch.num_columns - 1)
+            is_part = batch.column(batch.num_columns - 2).is_valid().to_numpy(zero_copy_only=False)
+            borders = [0, *(np.flatnonzero(np.diff(is_part)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(borders[:-1], borders[1:], strict=True):
+                if a == b:
+                    continue
+                if is_part[a]:
+                    first = np.flatnonzero(number[a:b] == 0)
+                    if len(first):  # numbers begin anew; nothing before is asked for again
+                        a, flat, sizes = a + int(first[-1]), [], []
+                    some = ids.slice(a, b - a)
+                    flat.append(some.flatten().to_numpy(zero_copy_only=False))
+                    sizes.append(pc.list_value_length(some).to_numpy(zero_copy_only=False).astype(np.int64))
+                    continue
+                flat, sizes = [np.concatenate(flat)], [np.concatenate(sizes)]
+                starts = np.cumsum(sizes[0]) - sizes[0]
+                asked = batch.column(batch.num_columns - 3).slice(a, b - a)
+                which = asked.flatten().to_numpy(zero_copy_only=False)
+                size = sizes[0][which]
+                ends = np.concatenate([[0], np.cumsum(size)])
+                values = flat[0][np.repeat(starts[which] - ends[:-1], size) + np.arange(ends[-1])]
+                offsets = ends[np.concatenate([[0], np.cumsum(pc.list_value_length(asked).to_numpy(zero_copy_only=False))])]
+                out = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*[c.slice(a, b - a) for c in batch.columns[:-3]], out], names=[*loose.names, "ids"])
+
+    fold = _viterbi(F.col(part_), F.col(edges_), table) if table.kind == "UNIGRAM" else _merged(F.col(part_), F.col(edges_), table.first_byte)
+    ids = F.when(F.col(number_).isNotNull(), F.coalesce(known_, fold))
+    folded = sent.mapInArrow(cut, schema).select(*kept, numbers_, number_, ids.alias(known_))
+    return folded.mapInArrow(put, T.StructType([*loose.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
 def decode(ids: Column, path: str) -> Column:

@@ -98,3 +98,16 @@ def test_other_models_are_refused(tmp_path):
         path = _model(tmp_path / f"{kind}.model", kind, [("a", -1.0), ("b", -2.0)], **kwargs)
         with pytest.raises(ValueError, match=match):
             PieceTable(path)
+
+
+def test_nothing_is_shuffled_and_numbers_begin_anew(spark, monkeypatch):
+    from taleloom.llm import sentencepiece_lattice as lattice
+
+    texts = [f"the nation{i} {'x' * 47}.{'z' * 60} of,é" for i in range(60)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    monkeypatch.setattr(lattice, "PARTS", 7)
+    monkeypatch.setattr(lattice, "ROWS", 5)
+    out = encode(rows, "text", PATH)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    model = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    assert [(r.text, r.ids) for r in out.collect()] == [(t, model.encode(t)) for t in texts]
