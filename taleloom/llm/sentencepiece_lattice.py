@@ -8,15 +8,19 @@ them with a higher-order aggregate in the same task.
 The fold follows the model's kind, and kinds other than these two are refused when the table is read. For unigram models, whose
 pieces have log probabilities, it is Viterbi's: position by position, the best way to it. BPE scores give the order of merges
 instead, and the best sum of scores is another segmentation than the library's; so there the fold keeps the borders of one
-path and, step by step, removes the one whose two neighbours join into the edge with the best score (the leftmost of
-equals) until no edge joins two neighbours.
+path and removes the one whose two neighbours join into the edge with the best score (the leftmost of equals) until no edge
+joins two neighbours. Where no edge has a score that another piece has too, the order in which a lattice's edges can come to be
+is known beforehand (`_Merges`), and the fold goes through the edges once, with borders as bits; else it goes step by step.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import concat
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +51,90 @@ def _proto(model):
     return sentencepiece_model_pb2.ModelProto.FromString(model.serialized_model_proto())
 
 
+class _Merges:
+    """The order of merges, known from the table alone for texts that hold no piece of several characters whose rank another has too.
+
+    What happens inside a span until it is one piece doesn't depend on what is around it: it is what happens to the piece's own
+    text. So a piece that its own text doesn't end in never comes to be, and one that does is joined at one place, its `split`.
+    A merge of rank r is taken when nothing better is there; what it makes possible with a rank before r contains it and follows at
+    once, before the next merge of rank r to the right. So an edge's turn is told by the greatest rank in its history, where the
+    last merge of that rank begins, how many merges followed that, and its own rank."""
+
+    def __init__(self, codes: dict[str, int]):
+        ranks = Counter(code // _RANKS for piece, code in codes.items() if len(piece) > 1)
+        self.trie: dict = {}
+        turns, spans, wants, splits = [], [], [], []
+        for piece, code in codes.items():
+            n = len(piece)
+            if not 1 < n <= LATTICE_CHARS:
+                continue
+            if ranks[code // _RANKS] > 1:
+                self._node(piece)[1] = _TIED
+                continue
+            done = self._history(piece, codes)
+            if len(done) < n - 1:
+                continue
+            greatest = max(rank for rank, _, _ in done)
+            last = max(i for i, x in enumerate(done) if x[0] == greatest)
+            rank, _, split = done[-1]
+            self._node(piece)[1] = len(turns) * 64
+            turns.append((greatest << 32) + (done[last][1] << 26) + (n - 2 - last << 20) + rank)
+            spans.append((1 << n + 1) - 1)
+            wants.append(1 | 1 << split | 1 << n)
+            splits.append(1 << split)
+        self.turns, self.spans, self.wants, self.splits = (np.array(x, np.int64) for x in (turns, spans, wants, splits))
+
+    def _node(self, piece: str) -> list:
+        node = [self.trie, _NONE]
+        for c in piece:
+            node = node[0].setdefault(c, [{}, _NONE])
+        return node
+
+    @staticmethod
+    def _history(piece: str, codes: dict[str, int]) -> list[tuple[int, int, int]]:
+        """The merges (rank, start, border that goes) of a text of its own."""
+        at, done = list(range(len(piece) + 1)), []
+        while len(at) > 2:
+            joins = [(code // _RANKS, i) for i in range(len(at) - 2) if (code := codes.get(piece[at[i] : at[i + 2]])) is not None]
+            if not joins:
+                break
+            rank, i = min(joins)
+            done.append((rank, at[i], at.pop(i + 1)))
+        return done
+
+    def lattices(self, parts: list[str]) -> pa.ListArray:
+        """Each part's edges in the order of their turns: all borders of the span, those there before the merge, and the one that goes.
+        Null: the part is too long, or holds a piece whose rank another has too."""
+        found, ends, null, trie = [], [0], [], self.trie
+        for part in parts:
+            known = len(part) <= LATTICE_CHARS
+            for start in range(len(part) - 1 if known else 0):
+                trail = trie
+                for c in part[start:]:
+                    node = trail.get(c)
+                    if node is None:
+                        break
+                    trail, merge = node
+                    if merge >= 0:
+                        found.append(merge + start)
+                    elif merge == _TIED:
+                        known = False
+            if not known:
+                del found[ends[-1] :]
+            null.append(not known)
+            ends.append(len(found))
+        edges = np.array(found, np.int64)
+        which, start = edges >> 6, edges & 63
+        order = np.lexsort((self.turns[which] + (start << 26), np.repeat(np.arange(len(parts)), np.diff(ends))))
+        which, start = which[order], start[order]
+        values = pa.StructArray.from_arrays([pa.array(x[which] << start) for x in (self.spans, self.wants, self.splits)], names=_EDGE.fieldNames())
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=pa.array(null, pa.bool_()))
+
+
+_NONE, _TIED = -1, -2  # no piece, or none that comes to be; a piece whose rank another has too
+_EDGE = T.StructType([T.StructField(c, T.LongType()) for c in ("span", "want", "split")])
+
+
 class PieceTable:
     """What the relations need of a model: (piece, code) rows, byte pieces' first id, and each id's bytes. A code is a rank
     (BPE: of the score; unigram: 0) and an id."""
@@ -77,6 +165,7 @@ class PieceTable:
         if not octets or octets != {b: octets[0] + b for b in range(256)}:
             raise ValueError("there are no byte pieces, or their ids are not in a row")
         self.first_byte = octets[0]
+        self.merges = _Merges(dict(self.rows)) if self.kind == "BPE" else None
         self.hex = ["" for _ in range(n)]
         for i in plain:
             self.hex[i] = model.id_to_piece(i).replace(SPACE, " ").encode().hex()
@@ -84,6 +173,11 @@ class PieceTable:
             self.hex[i] = f"{b:02x}"
 
 
+@lru_cache(maxsize=2)
+def _table(path: str) -> PieceTable:
+    return PieceTable(path)
+
+
 def _spelt(word: Column, start: Column, size: Column, first_byte: int) -> Column:
     """The byte pieces of a part of a word."""
     octets = F.hex(F.encode(F.substr(word, start + 1, size), "UTF-8"))
@@ -153,6 +247,38 @@ def _merged(word: Column, edges: Column, first_byte: int) -> Column:
     return F.flatten(F.element_at(F.transform(F.array(borders), lambda at: F.transform(F.slice(at, 2, F.size(at) - 1), lambda end, i: ids(end, i, at))), 1))
 
 
+def _path(word: Column, edges: Column) -> Column:
+    """The borders (bits) that are left of a word's when its edges have had their turns."""
+    every = F.call_function("shiftleft", F.lit(1).cast("long"), F.length(word) + 1) - 1
+    return F.aggregate(edges, every, lambda at, e: F.when(at.bitwiseAND(e["span"]) == e["want"], at.bitwiseXOR(e["split"])).otherwise(at))
+
+
+def _along(part: str, path: int, codes: dict[str, int], first_byte: int) -> list[int]:
+    """The ids of the pieces between the borders of a path."""
+    ids, start = [], 0
+    for end in range(1, len(part) + 1):
+        if path >> end & 1:
+            code = codes.get(part[start:end])
+            if code is None:
+                ids += [first_byte + b for b in part[start:end].encode()]
+            else:
+                ids.append(code % _RANKS)
+            start = end
+    return ids
+
+
+class _Words(dict):
+    """Numbers of words, which are written without their first mark; `cut` makes those of new words."""
+
+    def __init__(self, cut):
+        self.cut = cut
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.cut(SPACE + word)
+        return n
+
+
 class _Parts:
     """The words of texts, cut between characters that are neighbours in no piece (BPE only: there each part is merged by itself, while
     the sums of Viterbi start with the word), each different part once, numbered from 0."""
@@ -161,38 +287,52 @@ class _Parts:
         self.table, self.codes = table, dict(table.rows)
         self.beginnings = {piece[:n] for piece in self.codes for n in range(1, len(piece) + 1)}
         self.inner = {a + b for piece in self.codes for a, b in zip(piece, piece[1:])}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words = _Words(self._add)
+        self.sizes, self.places = array("q"), array("i")  # of each word, how many parts; and their numbers
         self.parts: dict[str, int] = {}
-        self.new: list[tuple[int, str]] = []
+        self.new: list[str] = []
 
     def _cut(self, word: str) -> list[str]:
         if self.table.kind != "BPE":
             return [word]
-        borders = [0, *(i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.inner), len(word)]
-        parts = [word[a:b] for a, b in zip(borders, borders[1:])]
+        inner = self.inner
+        borders = [i for i, pair in enumerate(map(concat, word, word[1:]), 1) if pair not in inner]
+        if not borders:
+            return [word]
+        parts = [word[a:b] for a, b in zip([0, *borders], [*borders, len(word)])]
         # The library takes whole words only: it puts a mark before what it is given.
         return [word] if max(map(len, parts)) > LATTICE_CHARS else parts
 
-    def _number(self, part: str) -> int:
-        n = self.parts.get(part)
-        if n is None:
-            n = self.parts[part] = len(self.parts)
-            self.new.append((n, part))
-        return n
-
-    def of(self, text: str) -> list[int]:
-        out: list[int] = []
-        for word in _WORD.findall(SPACE + text.replace(" ", SPACE)) if text else ():
-            found = self.words.get(word)
-            if found is None:
-                found = self.words[word] = tuple(map(self._number, self._cut(word)))
-            out += found
-        return out
-
-    def taken(self) -> pa.RecordBatch:
-        """The parts that are new: number, part, its lattice (substrings joined to the piece table), and the library's ids of long ones."""
-        spans, codes, ends, ids, get = [], [], [0], [], self.codes.get
-        for _, part in self.new:
+    def _add(self, word: str) -> None:
+        parts = self._cut(word)
+        self.sizes.append(len(parts))
+        for part in parts:
+            n = self.parts.get(part)
+            if n is None:
+                n = self.parts[part] = len(self.parts)
+                self.new.append(part)
+            self.places.append(n)
+
+    def of(self, texts: pa.StringArray) -> pa.ListArray:
+        """The numbers of each text's parts."""
+        runs = pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.match_substring(texts, SPACE)), pc.starts_with(texts, " "))
+        if pc.any(runs).as_py():
+            words = pa.array([[w[1:] for w in _WORD.findall(SPACE + t.replace(" ", SPACE))] for t in texts.to_pylist()], pa.list_(pa.string()))
+        else:
+            words = pc.split_pattern(texts, " ")
+        found = words.flatten().dictionary_encode()
+        numbers = np.fromiter(map(self.words.__getitem__, found.dictionary.to_pylist()), np.int64)[found.indices.to_numpy()]
+        sizes, some = pc.list_value_length(words).to_numpy(), pc.not_equal(texts, "").to_numpy(zero_copy_only=False)
+        places, ends = _spread(np.array(self.places, np.int32), np.array(self.sizes, np.int64), numbers[np.repeat(some, sizes)])
+        return pa.ListArray.from_arrays(pa.array(ends[np.concatenate([[0], np.cumsum(sizes * some)])], pa.int32()), pa.array(places, pa.int32()))
+
+    def _lattices(self, parts: list[str], done: pa.Array) -> pa.MapArray:
+        """Of each part that isn't done the substrings that are pieces: start * 64 + length, and code."""
+        spans, codes, ends, get = [], [], [0], self.codes.get
+        for part, well in zip(parts, done.is_valid().to_pylist()):
+            if well:
+                ends.append(len(spans))
+                continue
             n = len(part)
             for start in range(n if n <= LATTICE_CHARS else 0):
                 for end in range(start + 1, n + 1):
@@ -204,11 +344,24 @@ class _Parts:
                         spans.append(start * 64 + end - start)
                         codes.append(code)
             ends.append(len(spans))
-            ids.append(_model(self.table.path).encode(part[1:].replace(SPACE, " ")) if n > LATTICE_CHARS else None)
-        lattice = pa.MapArray.from_arrays(pa.array(ends, pa.int32()), pa.array(spans, pa.int32()), pa.array(codes, pa.int64()))
-        batch = pa.RecordBatch.from_arrays([pa.array([n for n, _ in self.new], pa.int32()), pa.array([x for _, x in self.new], pa.string()), lattice, pa.array(ids, pa.list_(pa.int32()))], names=["number", "part", "edges", "known"])
+        return pa.MapArray.from_arrays(pa.array(ends, pa.int32()), pa.array(spans, pa.int32()), pa.array(codes, pa.int64()))
+
+    def taken(self) -> pa.RecordBatch:
+        """The parts that are new: number, part, its lattice (substrings joined to the piece table) with edges in the order of their turns
+        or, if that isn't known, in any; and the library's ids of long ones."""
+        first, parts = len(self.parts) - len(self.new), self.new
+        ids = [_model(self.table.path).encode(x[1:].replace(SPACE, " ")) if len(x) > LATTICE_CHARS else None for x in parts]
+        turns = self.table.merges.lattices(parts) if self.table.merges else pa.nulls(len(parts), pa.list_(pa.struct([(c, pa.int64()) for c in _EDGE.fieldNames()])))
+        columns = [pa.array(range(first, first + len(parts)), pa.int32()), pa.array(parts, pa.string()), turns, self._lattices(parts, turns), pa.array(ids, pa.list_(pa.int32()))]
         self.new = []
-        return batch
+        return pa.RecordBatch.from_arrays(columns, names=["number", "part", "turns", "edges", "known"])
+
+
+def _spread(flat: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists (laid end to end in flat) of the given numbers, one after another, and where each begins and the last ends."""
+    starts, size = np.cumsum(sizes) - sizes, sizes[which]
+    ends = np.concatenate([[0], np.cumsum(size)])
+    return flat[np.repeat(starts[which] - ends[:-1], size) + np.arange(ends[-1])], ends
 
 
 def _free(name: str, columns: list[str]) -> str:
@@ -224,16 +377,16 @@ def encode(rows: DataFrame, text: str, path: str) -> DataFrame:
 
     Nothing is shuffled or stored. A task sends each batch of rows after the parts that are new in it, with their lattices; Spark
     folds those rows; and what reads them next, in the same order, puts the ids of the parts in the place of their numbers."""
-    table = PieceTable(path)
+    table = _table(path)
     kept = [c for c in rows.columns if c.lower() != "ids"]
-    own = ["__text", "__numbers", "__number", "__part", "__edges", "__known"]
+    own = ["__text", "__numbers", "__number", "__part", "__turns", "__edges", "__known", "__path"]
     own = [_free(c, rows.columns) for c in own]
-    text_, numbers_, number_, part_, edges_, known_ = own
+    text_, numbers_, number_, part_, turns_, edges_, known_, path_ = own
     sent = rows.select(*kept, F.coalesce(F.col(text).cast("string"), F.lit("")).alias(text_))
     loose = T.StructType([T.StructField(f.name, f.dataType) for f in sent.schema.fields[:-1]])
     schema = T.StructType(loose.fields + [
         T.StructField(numbers_, T.ArrayType(T.IntegerType())), T.StructField(number_, T.IntegerType()), T.StructField(part_, T.StringType()),
-        T.StructField(edges_, T.MapType(T.IntegerType(), T.LongType())), T.StructField(known_, T.ArrayType(T.IntegerType())),
+        T.StructField(turns_, T.ArrayType(_EDGE)), T.StructField(edges_, T.MapType(T.IntegerType(), T.LongType())), T.StructField(known_, T.ArrayType(T.IntegerType())),
     ])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +396,7 @@ def encode(rows: DataFrame, text: str, path: str) -> DataFrame:
                 batch = whole.slice(at, ROWS)
                 if max(len(parts.parts), len(parts.words)) > PARTS:
                     parts = _Parts(table)
-                numbers = pa.array([parts.of(t) for t in batch.column(batch.num_columns - 1).to_pylist()], pa.list_(pa.int32()))
+                numbers = parts.of(batch.column(batch.num_columns - 1))
                 new, columns = parts.taken(), batch.columns[:-1]
                 for part in (new.slice(i, PIECE_ROWS) for i in range(0, new.num_rows, PIECE_ROWS)):
                     n = part.num_rows
@@ -251,10 +404,11 @@ def encode(rows: DataFrame, text: str, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*columns, numbers, *[pa.nulls(batch.num_rows, c.type) for c in new.columns]], names=schema.names)
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = dict(table.rows)
         flat, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         for batch in batches:
-            number, ids = batch.column(batch.num_columns - 2).to_numpy(zero_copy_only=False), batch.column(batch.num_columns - 1)
-            is_part = batch.column(batch.num_columns - 2).is_valid().to_numpy(zero_copy_only=False)
+            columns, (asked, numbers, part, path, ids) = batch.columns[:-5], batch.columns[-5:]
+            number, is_part = numbers.to_numpy(zero_copy_only=False), numbers.is_valid().to_numpy(zero_copy_only=False)
             borders = [0, *(np.flatnonzero(np.diff(is_part)) + 1).tolist(), batch.num_rows]
             for a, b in zip(borders[:-1], borders[1:], strict=True):
                 if a == b:
@@ -264,30 +418,31 @@ def encode(rows: DataFrame, text: str, path: str) -> DataFrame:
                     if len(first):  # numbers begin anew; nothing before is asked for again
                         a, flat, sizes = a + int(first[-1]), [], []
                     some = ids.slice(a, b - a)
+                    if table.merges:
+                        read = zip(part.slice(a, b - a).to_pylist(), path.slice(a, b - a).to_pylist(), some.to_pylist())
+                        some = pa.array([_along(x, at, codes, table.first_byte) if at is not None else found for x, at, found in read], pa.list_(pa.int32()))
                     flat.append(some.flatten().to_numpy(zero_copy_only=False))
                     sizes.append(pc.list_value_length(some).to_numpy(zero_copy_only=False).astype(np.int64))
                     continue
                 flat, sizes = [np.concatenate(flat)], [np.concatenate(sizes)]
-                starts = np.cumsum(sizes[0]) - sizes[0]
-                asked = batch.column(batch.num_columns - 3).slice(a, b - a)
-                which = asked.flatten().to_numpy(zero_copy_only=False)
-                size = sizes[0][which]
-                ends = np.concatenate([[0], np.cumsum(size)])
-                values = flat[0][np.repeat(starts[which] - ends[:-1], size) + np.arange(ends[-1])]
-                offsets = ends[np.concatenate([[0], np.cumsum(pc.list_value_length(asked).to_numpy(zero_copy_only=False))])]
+                rows_ = asked.slice(a, b - a)
+                values, ends = _spread(flat[0], sizes[0], rows_.flatten().to_numpy(zero_copy_only=False))
+                offsets = ends[np.concatenate([[0], np.cumsum(pc.list_value_length(rows_).to_numpy(zero_copy_only=False))])]
                 out = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*[c.slice(a, b - a) for c in batch.columns[:-3]], out], names=[*loose.names, "ids"])
+                yield pa.RecordBatch.from_arrays([*[c.slice(a, b - a) for c in columns], out], names=[*loose.names, "ids"])
 
-    fold = _viterbi(F.col(part_), F.col(edges_), table) if table.kind == "UNIGRAM" else _merged(F.col(part_), F.col(edges_), table.first_byte)
-    ids = F.when(F.col(number_).isNotNull(), F.coalesce(known_, fold))
-    folded = sent.mapInArrow(cut, schema).select(*kept, numbers_, number_, ids.alias(known_))
+    part, edges, turns = F.col(part_), F.col(edges_), F.col(turns_)
+    fold = _viterbi(part, edges, table) if table.kind == "UNIGRAM" else _merged(part, edges, table.first_byte)
+    path = F.when(turns.isNotNull(), _path(part, turns))
+    ids = F.when(F.col(number_).isNotNull() & turns.isNull(), F.coalesce(known_, fold))
+    folded = sent.mapInArrow(cut, schema).select(*kept, numbers_, number_, part_, path.alias(path_), ids.alias(known_))
     return folded.mapInArrow(put, T.StructType([*loose.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
 def decode(ids: Column, path: str) -> Column:
     """The text of an array of ids; byte pieces that are no UTF-8 together give the replacement character."""
     # A constant: Spark folds it into one array, in which an id is a place.
-    octets = F.split(F.lit(",".join(PieceTable(path).hex)), ",")
+    octets = F.split(F.lit(",".join(_table(path).hex)), ",")
     joined = F.array_join(F.transform(ids, lambda i: F.element_at(octets, i + 1)), "")
     text = F.decode(F.unhex(joined), "UTF-8")
     return F.when(F.startswith(text, F.lit(" ")), F.substr(text, F.lit(2))).otherwise(text)

@@ -111,3 +111,34 @@ def test_nothing_is_shuffled_and_numbers_begin_anew(spark, monkeypatch):
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
     model = sentencepiece.SentencePieceProcessor(model_file=PATH)
     assert [(r.text, r.ids) for r in out.collect()] == [(t, model.encode(t)) for t in texts]
+
+
+def test_bpe_pieces_of_equal_scores(spark, tmp_path):
+    rng = random.Random(10)
+    found = {SPACE, *"abcd"}
+    while len(found) < 60:
+        found.add(rng.choice(["", "", SPACE]) + "".join(rng.choice("abcd") for _ in range(rng.randint(2, 5))))
+    path = _model(tmp_path / "bpe.model", "BPE", [(x, -float(rng.randint(0, 70))) for x in sorted(found)])
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = ["aaaa", "abab" * 12] + ["".join(rng.choice("aabbcde ") for _ in range(rng.randint(1, 60))) for _ in range(500)]
+    for r in encode(spark.createDataFrame([(t,) for t in texts], "text string"), "text", path).collect():
+        assert r.ids == model.encode(r.text), r.text
+
+
+def test_an_edge_takes_one_step_of_the_fold(tmp_path):
+    # The fold of a lattice goes over its edges once; before, it went over all borders again for each merge.
+    from taleloom.llm.sentencepiece_lattice import _along, _Merges
+
+    rng = random.Random(11)
+    for _ in range(30):
+        found = {"".join(rng.choice("abc") for _ in range(rng.randint(2, 6))) for _ in range(40)}
+        pieces = rng.sample(sorted(found), len(found))  # any order of ranks
+        path = _model(tmp_path / "bpe.model", "BPE", [(SPACE, -1000.0), *((c, -900.0 - ord(c)) for c in "abc"), *((x, -float(i)) for i, x in enumerate(pieces))])
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        codes = {x: (i << 20) + model.piece_to_id(x) for i, x in enumerate([*pieces, SPACE, *"abc"])}
+        texts = [SPACE + "".join(rng.choice("abc") for _ in range(rng.randint(1, 47))) for _ in range(100)]
+        for text, edges in zip(texts, _Merges(codes).lattices(texts).to_pylist(), strict=True):
+            at = (1 << len(text) + 1) - 1
+            for e in edges:
+                at = at ^ e["split"] if at & e["span"] == e["want"] else at
+            assert _along(text, at, codes, 3) == model.encode(text[1:]), text
