@@ -33,7 +33,7 @@ SPACE = "▁"
 #: Words of more characters go through the library: the fold's work grows with the square of a word.
 LATTICE_CHARS = 48
 #: Different words or parts that a task keeps at most, and the rows of a batch, so that what is in memory has a bound.
-PARTS, ROWS, PIECE_ROWS = 500_000, 500, 5_000
+PARTS, ROWS, PIECE_ROWS = 500_000, 1_000, 5_000
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
 _RANKS = 1 << 20  # ranks and ids are below
 
@@ -62,7 +62,7 @@ class _Merges:
 
     def __init__(self, codes: dict[str, int]):
         ranks = Counter(code // _RANKS for piece, code in codes.items() if len(piece) > 1)
-        self.trie: dict = {}
+        self.trie: list = [{}, _NONE]
         turns, spans, wants, splits = [], [], [], []
         for piece, code in codes.items():
             n = len(piece)
@@ -77,15 +77,27 @@ class _Merges:
             greatest = max(rank for rank, _, _ in done)
             last = max(i for i, x in enumerate(done) if x[0] == greatest)
             rank, _, split = done[-1]
-            self._node(piece)[1] = len(turns) * 64
+            self._node(piece)[1] = len(turns)
             turns.append((greatest << 32) + (done[last][1] << 26) + (n - 2 - last << 20) + rank)
             spans.append((1 << n + 1) - 1)
             wants.append(1 | 1 << split | 1 << n)
             splits.append(1 << split)
+        self._flatten()
         self.turns, self.spans, self.wants, self.splits = (np.array(x, np.int64) for x in (turns, spans, wants, splits))
 
+    def _flatten(self) -> None:
+        """The trie as arrays: (node, character) in order, the node each leads to, and each node's merge."""
+        nodes, steps = [self.trie], []
+        for n, (below, _) in enumerate(nodes):  # nodes grows meanwhile
+            for c, node in below.items():
+                steps.append((n << 21 | ord(c), len(nodes)))
+                nodes.append(node)
+        steps.sort()
+        self.steps, self.below = (np.array(x, np.int64) for x in (zip(*steps) if steps else ((-1,), (0,))))
+        self.ends, self.trie = np.array([x for _, x in nodes], np.int64), None
+
     def _node(self, piece: str) -> list:
-        node = [self.trie, _NONE]
+        node = self.trie
         for c in piece:
             node = node[0].setdefault(c, [{}, _NONE])
         return node
@@ -105,30 +117,32 @@ class _Merges:
     def lattices(self, parts: list[str]) -> pa.ListArray:
         """Each part's edges in the order of their turns: all borders of the span, those there before the merge, and the one that goes.
         Null: the part is too long, or holds a piece whose rank another has too."""
-        found, ends, null, trie = [], [0], [], self.trie
-        for part in parts:
-            known = len(part) <= LATTICE_CHARS
-            for start in range(len(part) - 1 if known else 0):
-                trail = trie
-                for c in part[start:]:
-                    node = trail.get(c)
-                    if node is None:
-                        break
-                    trail, merge = node
-                    if merge >= 0:
-                        found.append(merge + start)
-                    elif merge == _TIED:
-                        known = False
-            if not known:
-                del found[ends[-1] :]
-            null.append(not known)
-            ends.append(len(found))
-        edges = np.array(found, np.int64)
-        which, start = edges >> 6, edges & 63
-        order = np.lexsort((self.turns[which] + (start << 26), np.repeat(np.arange(len(parts)), np.diff(ends))))
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        text, of = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32).astype(np.int64), np.repeat(np.arange(len(parts)), sizes)
+        first, null = np.cumsum(sizes) - sizes, sizes > LATTICE_CHARS
+        start = np.flatnonzero(~null[of])
+        at, node, last = start, np.zeros(len(start), np.int64), (first + sizes)[of]
+        which, where = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        while len(start):
+            step = node << 21 | text[at]
+            place = np.minimum(np.searchsorted(self.steps, step), len(self.steps) - 1)
+            on = self.steps[place] == step
+            start, at, node = start[on], at[on] + 1, self.below[place[on]]
+            merge = self.ends[node]
+            which.append(merge[merge >= 0])
+            where.append(start[merge >= 0])
+            null[of[start[merge == _TIED]]] = True
+            on = at < last[start]
+            start, at, node = start[on], at[on], node[on]
+        which, where = np.concatenate(which), np.concatenate(where)
+        known = ~null[of[where]]
+        which, part = which[known], of[where[known]]
+        start = where[known] - first[part]
+        order = np.lexsort((self.turns[which] + (start << 26), part))
         which, start = which[order], start[order]
+        ends = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=len(parts)))])
         values = pa.StructArray.from_arrays([pa.array(x[which] << start) for x in (self.spans, self.wants, self.splits)], names=_EDGE.fieldNames())
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=pa.array(null, pa.bool_()))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=pa.array(null))
 
 
 _NONE, _TIED = -1, -2  # no piece, or none that comes to be; a piece whose rank another has too
@@ -443,6 +457,7 @@ def decode(ids: Column, path: str) -> Column:
     """The text of an array of ids; byte pieces that are no UTF-8 together give the replacement character."""
     # A constant: Spark folds it into one array, in which an id is a place.
     octets = F.split(F.lit(",".join(_table(path).hex)), ",")
-    joined = F.array_join(F.transform(ids, lambda i: F.element_at(octets, i + 1)), "")
+    joined = F.array_join(F.transform(ids, lambda i: octets[i]), "")
     text = F.decode(F.unhex(joined), "UTF-8")
-    return F.when(F.startswith(text, F.lit(" ")), F.substr(text, F.lit(2))).otherwise(text)
+    # transform over one element names the text, so that it is made once
+    return F.transform(F.array(text), lambda t: F.when(F.startswith(t, F.lit(" ")), F.substr(t, F.lit(2))).otherwise(t))[0]
