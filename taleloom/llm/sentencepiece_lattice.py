@@ -20,7 +20,6 @@ from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from operator import concat
 
 import numpy as np
 import pyarrow as pa
@@ -281,18 +280,6 @@ def _along(part: str, path: int, codes: dict[str, int], first_byte: int) -> list
     return ids
 
 
-class _Words(dict):
-    """Numbers of words, which are written without their first mark; `cut` makes those of new words."""
-
-    def __init__(self, cut):
-        self.cut = cut
-
-    def __missing__(self, word: str) -> int:
-        n = self[word] = len(self)
-        self.cut(SPACE + word)
-        return n
-
-
 class _Parts:
     """The words of texts, cut between characters that are neighbours in no piece (BPE only: there each part is merged by itself, while
     the sums of Viterbi start with the word), each different part once, numbered from 0."""
@@ -300,32 +287,52 @@ class _Parts:
     def __init__(self, table: PieceTable):
         self.table, self.codes = table, dict(table.rows)
         self.beginnings = {piece[:n] for piece in self.codes for n in range(1, len(piece) + 1)}
-        self.inner = {a + b for piece in self.codes for a, b in zip(piece, piece[1:])}
-        self.words = _Words(self._add)
+        self.inner = np.array(sorted({ord(a) << 21 | ord(b) for piece in self.codes for a, b in zip(piece, piece[1:])} or {-1}), np.int64)
+        self.words: dict[str, int] = {}  # without their first mark
         self.sizes, self.places = array("q"), array("i")  # of each word, how many parts; and their numbers
         self.parts: dict[str, int] = {}
         self.new: list[str] = []
 
-    def _cut(self, word: str) -> list[str]:
-        if self.table.kind != "BPE":
-            return [word]
-        inner = self.inner
-        borders = [i for i, pair in enumerate(map(concat, word, word[1:]), 1) if pair not in inner]
-        if not borders:
-            return [word]
-        parts = [word[a:b] for a, b in zip([0, *borders], [*borders, len(word)])]
-        # The library takes whole words only: it puts a mark before what it is given.
-        return [word] if max(map(len, parts)) > LATTICE_CHARS else parts
-
-    def _add(self, word: str) -> None:
-        parts = self._cut(word)
-        self.sizes.append(len(parts))
-        for part in parts:
-            n = self.parts.get(part)
-            if n is None:
-                n = self.parts[part] = len(self.parts)
-                self.new.append(part)
-            self.places.append(n)
+    def _cut(self, words: list[str]) -> Iterator[list[str]]:
+        """The parts of each word."""
+        if self.table.kind != "BPE" or not words:
+            yield from ([word] for word in words)
+            return
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        text = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
+        pairs = text[:-1] << 21 | text[1:]
+        apart = self.inner[np.minimum(np.searchsorted(self.inner, pairs), len(self.inner) - 1)] != pairs
+        first, of = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(words)), sizes)
+        apart &= of[:-1] == of[1:]
+        at = np.flatnonzero(apart) + 1
+        borders, ends = (at - first[of[at]]).tolist(), np.cumsum(np.bincount(of[at], minlength=len(words))).tolist()
+        done = 0
+        for word, end in zip(words, ends):
+            if end == done:
+                yield [word]
+                continue
+            some, done = borders[done:end], end
+            parts = [word[a:b] for a, b in zip([0, *some], [*some, len(word)])]
+            # The library takes whole words only: it puts a mark before what it is given.
+            yield [word] if max(map(len, parts)) > LATTICE_CHARS else parts
+
+    def _numbered(self, words: list[str]) -> np.ndarray:
+        """The numbers of different words; new ones are cut."""
+        found, known = list(map(self.words.get, words)), self.parts
+        new = [word for word, n in zip(words, found) if n is None]
+        for word, parts in zip(new, self._cut([SPACE + word for word in new])):
+            self.words[word] = len(self.words)
+            self.sizes.append(len(parts))
+            for part in parts:
+                n = known.get(part)
+                if n is None:
+                    n = known[part] = len(known)
+                    self.new.append(part)
+                self.places.append(n)
+        count = len(self.words) - len(new)
+        numbers = np.array([-1 if n is None else n for n in found], np.int64)
+        numbers[numbers < 0] = np.arange(count, len(self.words))
+        return numbers
 
     def of(self, texts: pa.StringArray) -> pa.ListArray:
         """The numbers of each text's parts."""
@@ -335,7 +342,7 @@ class _Parts:
         else:
             words = pc.split_pattern(texts, " ")
         found = words.flatten().dictionary_encode()
-        numbers = np.fromiter(map(self.words.__getitem__, found.dictionary.to_pylist()), np.int64)[found.indices.to_numpy()]
+        numbers = self._numbered(found.dictionary.to_pylist())[found.indices.to_numpy()]
         sizes, some = pc.list_value_length(words).to_numpy(), pc.not_equal(texts, "").to_numpy(zero_copy_only=False)
         places, ends = _spread(np.array(self.places, np.int32), np.array(self.sizes, np.int64), numbers[np.repeat(some, sizes)])
         return pa.ListArray.from_arrays(pa.array(ends[np.concatenate([[0], np.cumsum(sizes * some)])], pa.int32()), pa.array(places, pa.int32()))
