@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from taleloom.llm.common import table
 
@@ -42,17 +44,26 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sentencepiece(rows: DataFrame, *keys: str) -> DataFrame:
-    from taleloom.llm.sentencepiece_lattice import SPACE, decode, encode
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    from taleloom.llm.sentencepiece_lattice import SPACE, decoded, encode, joined, piece_octets
 
     path = vocabulary("piece_bpe_32k.model")
-    out = encode(rows.select(*keys, F.coalesce("text", F.lit("")).alias("text")), "text", path)
-    spaces = F.replace(F.col("text"), F.lit(SPACE), F.lit(" "))  # the mark for a space is read as one
-    return out.select(
-        *keys,
-        F.size("ids").cast("long").alias("n_ids"),
-        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
-        (decode(F.col("ids"), path) == spaces).alias("same_text"),
-    )
+    octets = piece_octets(path)
+    decimals = pa.array([b"%d," % i for i in range(len(octets))], pa.large_binary())
+
+    def read(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """The digests of a batch's ids, and whether they are read back as its texts."""
+        text, ids = batch.column(len(keys)), batch.column(len(keys) + 1)
+        spaces = pc.replace_substring(text, SPACE, " ")  # the mark for a space is read as one
+        digests = pa.array([hashlib.sha256(x.as_buffer()[:-1] if len(x.as_buffer()) else b"").hexdigest() for x in joined(ids, decimals)], pa.string())
+        return pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pc.list_value_length(ids).cast(pa.int64()), digests, pc.equal(decoded(ids, octets), spaces)], names=returns.names)
+
+    rows = rows.select(*keys, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    made = {"n_ids": T.LongType(), "ids_sha256": T.StringType(), "same_text": T.BooleanType()}
+    returns = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema.fields[:-1]] + [T.StructField(name, type_) for name, type_ in made.items()])
+    return encode(rows, "text", path, read, returns)
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,10 +15,8 @@ is known beforehand (`_Merges`), and the fold goes through the edges once, with
 
 from __future__ import annotations
 
-import re
-from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -31,9 +29,8 @@ from pyspark.sql import types as T
 SPACE = "▁"
 #: Words of more characters go through the library: the fold's work grows with the square of a word.
 LATTICE_CHARS = 48
-#: Different words or parts that a task keeps at most, and the rows of a batch, so that what is in memory has a bound.
+#: Different parts that a task keeps at most, and the rows of a batch, so that what is in memory has a bound.
 PARTS, ROWS, PIECE_ROWS = 500_000, 1_000, 5_000
-_WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
 _RANKS = 1 << 20  # ranks and ids are below
 
 
@@ -50,6 +47,42 @@ def _proto(model):
     return sentencepiece_model_pb2.ModelProto.FromString(model.serialized_model_proto())
 
 
+class _Places:
+    """Values of whole numbers from 0 up, looked up many at a time: open addressing, a probe of all that are not settled at a time."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, (4 * len(keys)).bit_length())
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int64)
+        left, slot = np.arange(len(keys)), self._slots(keys)
+        while len(left):
+            free = np.flatnonzero(self.keys[slot] < 0)
+            some = free[np.unique(slot[free], return_index=True)[1]]
+            self.keys[slot[some]], self.values[slot[some]] = keys[left[some]], values[left[some]]
+            more = self.keys[slot] != keys[left]
+            left, slot = left[more], slot[more] + 1 & self.last
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).view(np.int64)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """The value of each key, or -1."""
+        slot = self._slots(keys)
+        there = self.keys[slot]
+        hit = there == keys
+        found = np.where(hit, self.values[slot], -1)
+        left = np.flatnonzero(~hit & (there >= 0))
+        slot = slot[left]
+        while len(left):
+            slot = slot + 1 & self.last
+            there = self.keys[slot]
+            hit = there == keys[left]
+            found[left[hit]] = self.values[slot[hit]]
+            more = ~hit & (there >= 0)
+            left, slot = left[more], slot[more]
+        return found
+
+
 class _Merges:
     """The order of merges, known from the table alone for texts that hold no piece of several characters whose rank another has too.
 
@@ -85,14 +118,13 @@ class _Merges:
         self.turns, self.spans, self.wants, self.splits = (np.array(x, np.int64) for x in (turns, spans, wants, splits))
 
     def _flatten(self) -> None:
-        """The trie as arrays: (node, character) in order, the node each leads to, and each node's merge."""
+        """The trie as tables: (node, character), the node each leads to, and each node's merge."""
         nodes, steps = [self.trie], []
         for n, (below, _) in enumerate(nodes):  # nodes grows meanwhile
             for c, node in below.items():
                 steps.append((n << 21 | ord(c), len(nodes)))
                 nodes.append(node)
-        steps.sort()
-        self.steps, self.below = (np.array(x, np.int64) for x in (zip(*steps) if steps else ((-1,), (0,))))
+        self.below = _Places(*np.array(steps, np.int64).reshape(-1, 2).T.copy())
         self.ends, self.trie = np.array([x for _, x in nodes], np.int64), None
 
     def _node(self, piece: str) -> list:
@@ -123,10 +155,9 @@ class _Merges:
         at, node, last = start, np.zeros(len(start), np.int64), (first + sizes)[of]
         which, where = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         while len(start):
-            step = node << 21 | text[at]
-            place = np.minimum(np.searchsorted(self.steps, step), len(self.steps) - 1)
-            on = self.steps[place] == step
-            start, at, node = start[on], at[on] + 1, self.below[place[on]]
+            below = self.below.of(node << 21 | text[at])
+            on = below >= 0
+            start, at, node = start[on], at[on] + 1, below[on]
             merge = self.ends[node]
             which.append(merge[merge >= 0])
             where.append(start[merge >= 0])
@@ -179,11 +210,12 @@ class PieceTable:
             raise ValueError("there are no byte pieces, or their ids are not in a row")
         self.first_byte = octets[0]
         self.merges = _Merges(dict(self.rows)) if self.kind == "BPE" else None
-        self.hex = ["" for _ in range(n)]
+        spelt = [b"" for _ in range(n)]
         for i in plain:
-            self.hex[i] = model.id_to_piece(i).replace(SPACE, " ").encode().hex()
+            spelt[i] = model.id_to_piece(i).replace(SPACE, " ").encode()
         for b, i in octets.items():
-            self.hex[i] = f"{b:02x}"
+            spelt[i] = bytes([b])
+        self.octets = pa.array(spelt, pa.large_binary())
 
 
 @lru_cache(maxsize=2)
@@ -280,6 +312,27 @@ def _along(part: str, path: int, codes: dict[str, int], first_byte: int) -> list
     return ids
 
 
+def _all_along(parts: pa.StringArray, paths: np.ndarray, pieces: pa.StringArray, codes: dict[str, int], first_byte: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the pieces between the borders of each part's path, one part after another, and how many each part has."""
+    ends, octets = _octets(parts)
+    begins = np.append(np.flatnonzero(octets & 0xC0 != 0x80), len(octets))  # of characters
+    first = np.searchsorted(begins, ends)
+    of = np.repeat(np.arange(len(parts)), np.diff(first))
+    last = np.flatnonzero(paths[of] >> np.arange(1, len(of) + 1) - first[of] & 1)  # characters that end a piece
+    found = pc.index_in(_strings(np.concatenate([[0], begins[last[:-1] + 1]])[: len(last)], octets), pieces)
+    ids = np.array([code % _RANKS for code in codes.values()], np.int32)[found.fill_null(0).to_numpy()]
+    sizes = np.bincount(of[last], minlength=len(parts))
+    if not found.null_count:
+        return ids, sizes
+    # Parts with characters that are no piece, which are spelt in bytes.
+    odd = np.unique(of[last[found.is_null().to_numpy(zero_copy_only=False)]])
+    spelt = [_along(parts[i].as_py(), int(paths[i]), codes, first_byte) for i in odd.tolist()]
+    which = np.arange(len(parts))
+    which[odd] = len(parts) + np.arange(len(odd))
+    sizes = np.concatenate([sizes, np.fromiter(map(len, spelt), np.int64, len(odd))])
+    return _spread(np.concatenate([ids, *(np.array(x, np.int32) for x in spelt)]), sizes, which)[0], sizes[which]
+
+
 class _Parts:
     """The words of texts, cut between characters that are neighbours in no piece (BPE only: there each part is merged by itself, while
     the sums of Viterbi start with the word), each different part once, numbered from 0."""
@@ -287,65 +340,53 @@ class _Parts:
     def __init__(self, table: PieceTable):
         self.table, self.codes = table, dict(table.rows)
         self.beginnings = {piece[:n] for piece in self.codes for n in range(1, len(piece) + 1)}
-        self.inner = np.array(sorted({ord(a) << 21 | ord(b) for piece in self.codes for a, b in zip(piece, piece[1:])} or {-1}), np.int64)
-        self.words: dict[str, int] = {}  # without their first mark
-        self.sizes, self.places = array("q"), array("i")  # of each word, how many parts; and their numbers
+        inner = np.array(sorted({ord(a) << 21 | ord(b) for piece in self.codes for a, b in zip(piece, piece[1:])}), np.int64)
+        self.inner = _Places(inner, inner)
         self.parts: dict[str, int] = {}
         self.new: list[str] = []
 
-    def _cut(self, words: list[str]) -> Iterator[list[str]]:
-        """The parts of each word."""
-        if self.table.kind != "BPE" or not words:
-            yield from ([word] for word in words)
-            return
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        text = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
-        pairs = text[:-1] << 21 | text[1:]
-        apart = self.inner[np.minimum(np.searchsorted(self.inner, pairs), len(self.inner) - 1)] != pairs
-        first, of = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(words)), sizes)
-        apart &= of[:-1] == of[1:]
-        at = np.flatnonzero(apart) + 1
-        borders, ends = (at - first[of[at]]).tolist(), np.cumsum(np.bincount(of[at], minlength=len(words))).tolist()
-        done = 0
-        for word, end in zip(words, ends):
-            if end == done:
-                yield [word]
-                continue
-            some, done = borders[done:end], end
-            parts = [word[a:b] for a, b in zip([0, *some], [*some, len(word)])]
+    def _cut(self, words: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
+        """The parts of words (with blanks for their marks), one after another, and how many each word has."""
+        ends, octets = _octets(words)
+        begins = np.flatnonzero(octets & 0xC0 != 0x80)  # of characters
+        text = np.frombuffer(octets.tobytes().decode().encode("utf-32-le"), np.uint32).astype(np.int64)
+        text[text == 32] = ord(SPACE)
+        first = np.searchsorted(begins, ends[:-1])
+        cut = np.ones(len(text), bool)
+        cut[1:] = self.inner.of(text[:-1] << 21 | text[1:]) < 0 if self.table.kind == "BPE" else False
+        cut[first] = True
+        at = np.flatnonzero(cut)
+        long = at[np.diff(at, append=len(text)) > LATTICE_CHARS]
+        if len(long):
             # The library takes whole words only: it puts a mark before what it is given.
-            yield [word] if max(map(len, parts)) > LATTICE_CHARS else parts
-
-    def _numbered(self, words: list[str]) -> np.ndarray:
-        """The numbers of different words; new ones are cut."""
-        found, known = list(map(self.words.get, words)), self.parts
-        new = [word for word, n in zip(words, found) if n is None]
-        for word, parts in zip(new, self._cut([SPACE + word for word in new])):
-            self.words[word] = len(self.words)
-            self.sizes.append(len(parts))
-            for part in parts:
-                n = known.get(part)
-                if n is None:
-                    n = known[part] = len(known)
-                    self.new.append(part)
-                self.places.append(n)
-        count = len(self.words) - len(new)
-        numbers = np.array([-1 if n is None else n for n in found], np.int64)
-        numbers[numbers < 0] = np.arange(count, len(self.words))
+            word = np.unique(np.searchsorted(first, long, "right") - 1)
+            for a, b in zip(first[word], np.append(first, len(text))[word + 1]):
+                cut[a + 1 : b] = False
+            at = np.flatnonzero(cut)
+        return _strings(begins[at], octets), np.diff(np.searchsorted(at, first), append=len(at))
+
+    def _numbered(self, parts: pa.StringArray) -> np.ndarray:
+        """The numbers of different parts."""
+        known, count = self.parts, len(self.parts)
+        names = pc.replace_substring(parts, " ", SPACE).to_pylist()
+        numbers = np.fromiter((known.setdefault(name, len(known)) for name in names), np.int32, len(names))
+        self.new += [names[i] for i in np.flatnonzero(numbers >= count)]
         return numbers
 
     def of(self, texts: pa.StringArray) -> pa.ListArray:
         """The numbers of each text's parts."""
-        runs = pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.match_substring(texts, SPACE)), pc.starts_with(texts, " "))
-        if pc.any(runs).as_py():
-            words = pa.array([[w[1:] for w in _WORD.findall(SPACE + t.replace(" ", SPACE))] for t in texts.to_pylist()], pa.list_(pa.string()))
-        else:
-            words = pc.split_pattern(texts, " ")
-        found = words.flatten().dictionary_encode()
-        numbers = self._numbered(found.dictionary.to_pylist())[found.indices.to_numpy()]
-        sizes, some = pc.list_value_length(words).to_numpy(), pc.not_equal(texts, "").to_numpy(zero_copy_only=False)
-        places, ends = _spread(np.array(self.places, np.int32), np.array(self.sizes, np.int64), numbers[np.repeat(some, sizes)])
-        return pa.ListArray.from_arrays(pa.array(ends[np.concatenate([[0], np.cumsum(sizes * some)])], pa.int32()), pa.array(places, pa.int32()))
+        ends, octets = _octets(pc.if_else(pc.equal(texts, ""), "", pc.binary_join_element_wise(" ", pc.replace_substring(texts, SPACE, " "), "")))
+        blank = octets == 32
+        begins = blank.copy()
+        begins[1:] &= ~blank[:-1]
+        begins[ends[:-1][ends[:-1] < ends[1:]]] = True
+        begins = np.flatnonzero(begins)
+        words = _strings(begins, octets).dictionary_encode()
+        parts, sizes = self._cut(words.dictionary)
+        parts = parts.dictionary_encode()
+        numbers = self._numbered(parts.dictionary)[parts.indices.to_numpy()]
+        places, offsets = _spread(numbers, sizes, words.indices.to_numpy())
+        return pa.ListArray.from_arrays(pa.array(offsets[np.searchsorted(begins, ends)], pa.int32()), pa.array(places, pa.int32()))
 
     def _lattices(self, parts: list[str], done: pa.Array) -> pa.MapArray:
         """Of each part that isn't done the substrings that are pieces: start * 64 + length, and code."""
@@ -378,6 +419,19 @@ class _Parts:
         return pa.RecordBatch.from_arrays(columns, names=["number", "part", "turns", "edges", "known"])
 
 
+def _octets(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each text ends (from 0) in the bytes of all, and these."""
+    _, ends, octets = texts.buffers()
+    ends = np.frombuffer(ends, np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+    octets = np.frombuffer(octets, np.uint8)[ends[0] : ends[-1]] if octets else np.zeros(0, np.uint8)
+    return ends - ends[0], octets
+
+
+def _strings(begins: np.ndarray, octets: np.ndarray) -> pa.StringArray:
+    """The strings that bytes hold, one from each place to the next."""
+    return pa.StringArray.from_buffers(len(begins), pa.py_buffer(np.append(begins, len(octets)).astype(np.int32)), pa.py_buffer(octets))
+
+
 def _spread(flat: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The lists (laid end to end in flat) of the given numbers, one after another, and where each begins and the last ends."""
     starts, size = np.cumsum(sizes) - sizes, sizes[which]
@@ -392,9 +446,9 @@ def _free(name: str, columns: list[str]) -> str:
     return name
 
 
-def encode(rows: DataFrame, text: str, path: str) -> DataFrame:
+def encode(rows: DataFrame, text: str, path: str, read: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, returns: T.StructType | None = None) -> DataFrame:
     """rows with `ids`: the library's ids of the text column. A null or empty text has no ids; rows stay as many as they are; a
-    column `ids` of rows is replaced.
+    column `ids` of rows is replaced. With `read`, the result is what it makes (of schema `returns`) of each batch of these rows, in the task that has it.
 
     Nothing is shuffled or stored. A task sends each batch of rows after the parts that are new in it, with their lattices; Spark
     folds those rows; and what reads them next, in the same order, puts the ids of the parts in the place of their numbers."""
@@ -415,7 +469,7 @@ def encode(rows: DataFrame, text: str, path: str) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
-                if max(len(parts.parts), len(parts.words)) > PARTS:
+                if len(parts.parts) > PARTS:
                     parts = _Parts(table)
                 numbers = parts.of(batch.column(batch.num_columns - 1))
                 new, columns = parts.taken(), batch.columns[:-1]
@@ -426,6 +480,7 @@ def encode(rows: DataFrame, text: str, path: str) -> DataFrame:
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = dict(table.rows)
+        pieces = pa.array(codes, pa.string())
         flat, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         for batch in batches:
             columns, (asked, numbers, part, path, ids) = batch.columns[:-5], batch.columns[-5:]
@@ -438,33 +493,61 @@ def encode(rows: DataFrame, text: str, path: str) -> DataFrame:
                     first = np.flatnonzero(number[a:b] == 0)
                     if len(first):  # numbers begin anew; nothing before is asked for again
                         a, flat, sizes = a + int(first[-1]), [], []
-                    some = ids.slice(a, b - a)
-                    if table.merges:
-                        read = zip(part.slice(a, b - a).to_pylist(), path.slice(a, b - a).to_pylist(), some.to_pylist())
-                        some = pa.array([_along(x, at, codes, table.first_byte) if at is not None else found for x, at, found in read], pa.list_(pa.int32()))
-                    flat.append(some.flatten().to_numpy(zero_copy_only=False))
-                    sizes.append(pc.list_value_length(some).to_numpy(zero_copy_only=False).astype(np.int64))
+                    some, way = ids.slice(a, b - a), path.slice(a, b - a)
+                    walked = way.is_valid()
+                    values, counts = _all_along(part.slice(a, b - a).filter(walked), way.drop_null().to_numpy(), pieces, codes, table.first_byte)
+                    if way.null_count:
+                        some = some.filter(way.is_null())
+                        values, counts = np.concatenate([values, some.flatten().to_numpy()]), np.concatenate([counts, pc.list_value_length(some).to_numpy()])
+                        which = np.argsort(np.argsort(~walked.to_numpy(zero_copy_only=False), kind="stable"))
+                        values, counts = _spread(values, counts, which)[0], counts[which]
+                    flat.append(values)
+                    sizes.append(counts.astype(np.int64))
                     continue
                 flat, sizes = [np.concatenate(flat)], [np.concatenate(sizes)]
                 rows_ = asked.slice(a, b - a)
                 values, ends = _spread(flat[0], sizes[0], rows_.flatten().to_numpy(zero_copy_only=False))
                 offsets = ends[np.concatenate([[0], np.cumsum(pc.list_value_length(rows_).to_numpy(zero_copy_only=False))])]
                 out = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*[c.slice(a, b - a) for c in columns], out], names=[*loose.names, "ids"])
+                done = pa.RecordBatch.from_arrays([*[c.slice(a, b - a) for c in columns], out], names=[*loose.names, "ids"])
+                yield read(done) if read else done
 
     part, edges, turns = F.col(part_), F.col(edges_), F.col(turns_)
     fold = _viterbi(part, edges, table) if table.kind == "UNIGRAM" else _merged(part, edges, table.first_byte)
     path = F.when(turns.isNotNull(), _path(part, turns))
     ids = F.when(F.col(number_).isNotNull() & turns.isNull(), F.coalesce(known_, fold))
     folded = sent.mapInArrow(cut, schema).select(*kept, numbers_, number_, part_, path.alias(path_), ids.alias(known_))
-    return folded.mapInArrow(put, T.StructType([*loose.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return folded.mapInArrow(put, returns or T.StructType([*loose.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+
+
+def joined(ids: pa.ListArray, spelt: pa.LargeBinaryArray) -> pa.LargeBinaryArray:
+    """What the ids of each list are spelt as, joined; no list is null."""
+    whole = spelt.take(ids.flatten())
+    begins = np.frombuffer(whole.buffers()[1], np.int64) if len(whole) else np.zeros(1, np.int64)
+    ends = begins[np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy())])]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(ends), whole.buffers()[2]])
+
+
+def decoded(ids: pa.ListArray, octets: pa.LargeBinaryArray) -> pa.StringArray:
+    """The text of each list of ids; octets: the bytes of each id."""
+    texts = joined(ids.fill_null([]) if ids.null_count else ids, octets)
+    try:
+        texts = texts.cast(pa.string())
+    except pa.ArrowInvalid:  # not UTF-8
+        texts = pa.array([x.decode("utf-8", "replace") for x in texts.to_pylist()], pa.string())
+    texts = pc.if_else(pc.starts_with(texts, " "), pc.utf8_slice_codeunits(texts, 1), texts)
+    return pc.if_else(ids.is_valid(), texts, None) if ids.null_count else texts
+
+
+def piece_octets(path: str) -> pa.LargeBinaryArray:
+    return _table(path).octets
 
 
 def decode(ids: Column, path: str) -> Column:
     """The text of an array of ids; byte pieces that are no UTF-8 together give the replacement character."""
-    # A constant: Spark folds it into one array, in which an id is a place.
-    octets = F.split(F.lit(",".join(_table(path).hex)), ",")
-    joined = F.array_join(F.transform(ids, lambda i: octets[i]), "")
-    text = F.decode(F.unhex(joined), "UTF-8")
-    # transform over one element names the text, so that it is made once
-    return F.transform(F.array(text), lambda t: F.when(F.startswith(t, F.lit(" ")), F.substr(t, F.lit(2))).otherwise(t))[0]
+    octets = piece_octets(path)
+
+    def texts(ids: pa.Array) -> pa.Array:
+        return decoded(ids, octets)
+
+    return F.arrow_udf(texts, "string")(ids)

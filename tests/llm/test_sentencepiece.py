@@ -142,3 +142,37 @@ def test_an_edge_takes_one_step_of_the_fold(tmp_path):
             for e in edges:
                 at = at ^ e["split"] if at & e["span"] == e["want"] else at
             assert _along(text, at, codes, 3) == model.encode(text[1:]), text
+
+
+def test_nothing_is_left_to_do_for_each_id_after_the_tasks_that_have_them(spark, tmp_path):
+    # Joining ids and reading them back in expressions took most of the time.
+    spark.createDataFrame([(1, "a")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    plan = QUERIES["op8_sentencepiece"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("MapInArrow") and "array_join" not in plan
+
+
+def test_bytes_that_are_no_text_are_replaced(spark):
+    table = PieceTable(PATH)
+    cases = [[table.first_byte + b for b in octets] for octets in (b"\xff", b"A\xe2\x96B", "é".encode(), b" ", b"  ")]
+    got = [r.back for r in spark.createDataFrame([(i, x) for i, x in enumerate(cases)], "n int, ids array<int>").withColumn("back", decode(F.col("ids"), PATH)).orderBy("n").collect()]
+    assert got == ["�", "A�B", "é", "", " "]
+    nulls = spark.createDataFrame([(None,), ([None, cases[0][0]],), ([],)], "ids array<int>").select(decode(F.col("ids"), PATH)).collect()
+    assert [r[0] for r in nulls] == [None, "�", ""]
+
+
+def test_numbers_looked_up_together_and_paths_read_together():
+    import numpy as np
+    import pyarrow as pa
+
+    from taleloom.llm.sentencepiece_lattice import _all_along, _along, _Places
+
+    rng = random.Random(12)
+    keys = [*rng.sample(range(1 << 41), 5000), *range(3000)]
+    places, asked = dict(zip(keys, range(len(keys)))), [*keys, *range(2000, 9000)]
+    assert _Places(np.array(keys), np.arange(len(keys))).of(np.array(asked)).tolist() == [places.get(k, -1) for k in asked]
+    assert _Places(np.zeros(0, np.int64), np.zeros(0, np.int64)).of(np.array([0, 5])).tolist() == [-1, -1]
+    codes = {SPACE: 300, "a": 301, "é": 302, "aé": 303, "日": 304}
+    parts = ["".join(rng.choice([SPACE, "a", "é", "日", "\U0001d518"]) for _ in range(rng.randint(1, 47))) for _ in range(500)]
+    paths = [sum(1 << i for i in range(1, len(x)) if x[i - 1 : i + 1] != "aé") | 1 | 1 << len(x) for x in parts]
+    ids, sizes = _all_along(pa.array(["cut off", *parts]).slice(1), np.array(paths), pa.array(codes), codes, 3)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [_along(x, at, codes, 3) for x, at in zip(parts, paths)]
