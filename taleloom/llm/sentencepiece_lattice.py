@@ -475,7 +475,8 @@ def encode(rows: DataFrame, text: str, path: str, read: Callable[[pa.RecordBatch
                 new, columns = parts.taken(), batch.columns[:-1]
                 for part in (new.slice(i, PIECE_ROWS) for i in range(0, new.num_rows, PIECE_ROWS)):
                     n = part.num_rows
-                    yield pa.RecordBatch.from_arrays([pa.nulls(n, c.type) for c in columns] + [pa.nulls(n, numbers.type), *part.columns], names=schema.names)
+                    none = pa.ListArray.from_arrays(pa.array([0] * (n + 1), pa.int32()), pa.nulls(0, pa.int32()))
+                    yield pa.RecordBatch.from_arrays([pa.nulls(n, c.type) for c in columns] + [none, *part.columns], names=schema.names)
                 yield pa.RecordBatch.from_arrays([*columns, numbers, *[pa.nulls(batch.num_rows, c.type) for c in new.columns]], names=schema.names)
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -515,7 +516,8 @@ def encode(rows: DataFrame, text: str, path: str, read: Callable[[pa.RecordBatch
     part, edges, turns = F.col(part_), F.col(edges_), F.col(turns_)
     fold = _viterbi(part, edges, table) if table.kind == "UNIGRAM" else _merged(part, edges, table.first_byte)
     path = F.when(turns.isNotNull(), _path(part, turns))
-    ids = F.when(F.col(number_).isNotNull() & turns.isNull(), F.coalesce(known_, fold))
+    # Lists are empty, not null, in the rows that have none: Spark asks for a batch's size at each row, and that walks over all null lists since the last other one.
+    ids = F.when(F.col(number_).isNotNull() & turns.isNull(), F.coalesce(known_, fold)).otherwise(F.array().cast("array<int>"))
     folded = sent.mapInArrow(cut, schema).select(*kept, numbers_, number_, part_, path.alias(path_), ids.alias(known_))
     return folded.mapInArrow(put, returns or T.StructType([*loose.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
